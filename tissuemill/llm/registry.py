@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .near_dups import op5_near_dups
+from .quality import op3_quality
 from .sentencepiece_codec import op1_sentencepiece
+from .token_store import op4_token_store
+from .topk_search import OP2_SQL, op2_topk_search
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_topk_search": op2_topk_search,
+    "op3_quality": op3_quality,
+    "op4_token_store": op4_token_store,
+    "op5_near_dups": op5_near_dups,
+}
+SQL: dict[str, str] = {"op2_topk_search": OP2_SQL}
 
 
 def queries() -> dict:
