@@ -10,7 +10,7 @@ are joined on a salted key, which splits a hot source.
 
 Cases: null is a source of its own. A null doc_id draws as the text "null". Rows with equal doc_id draw equal counts. Null,
 empty and long texts are carried as they are. Sources without a target weight have weight 0. Empty tables stay empty. Further
-columns are kept; a column named like a result column raises ``ValueError``.
+columns are kept; those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -57,26 +57,25 @@ def rates(docs: DataFrame, by: str = "source", weights: DataFrame | None = None,
 
 def mix(docs: DataFrame, by: str = "source", id_col: str = "doc_id", seed: int = 6, weights: DataFrame | None = None, power: float = 0.5, target_rows: int | None = None) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, plus copy_no (from 0) and shuffle_key, in shuffled order."""
-    for name in ("copy_no", "shuffle_key"):
-        if fresh_name(docs, name) != name:
-            raise ValueError(f"column {name} exists already")
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy_no", "shuffle_key")])
+    rate_col, salt_col, own_col, count_col = (fresh_name(docs, c) for c in ("rate", "salt", "own_salt", "copies"))
     table = Workspace(spark, "mixing").write(rates(docs, by, weights, power, target_rows), "rates")
-    rate = table.select(F.struct("key", "pieces", "cdf").alias("__rate"))
+    rate = table.select(F.struct("key", "pieces", "cdf").alias(rate_col))
     if table.count() <= BROADCAST_SOURCES:
-        drawn = docs.join(F.broadcast(rate), F.col(f"`{by}`").eqNullSafe(F.col("__rate.key")))
+        drawn = docs.join(F.broadcast(rate), F.col(f"`{by}`").eqNullSafe(F.col(f"{rate_col}.key")))
     else:
-        salted = rate.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = docs.withColumn("__own", F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(SALTS)).cast("int"))
-        drawn = own.join(salted, F.col(f"`{by}`").eqNullSafe(F.col("__rate.key")) & (F.col("__own") == F.col("__salt")))
+        salted = rate.withColumn(salt_col, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = docs.withColumn(own_col, F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(SALTS)).cast("int"))
+        drawn = own.join(salted, F.col(f"`{by}`").eqNullSafe(F.col(f"{rate_col}.key")) & (F.col(own_col) == F.col(salt_col)))
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     count = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.col("__rate.pieces")), lambda j: _uniform(str(seed), name, j.cast("string"))),
+        F.transform(F.sequence(F.lit(1), F.col(f"{rate_col}.pieces")), lambda j: _uniform(str(seed), name, j.cast("string"))),
         F.lit(0),
-        lambda n, u: n + F.size(F.filter(F.col("__rate.cdf"), lambda c: c <= u)),
+        lambda n, u: n + F.size(F.filter(F.col(f"{rate_col}.cdf"), lambda c: c <= u)),
     )
-    counted = drawn.select(*[F.col(f"`{c}`") for c in docs.columns], count.alias("__count")).where("__count > 0")
-    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("copy_no"))
+    counted = drawn.select(*[F.col(f"`{c}`") for c in docs.columns], count.alias(count_col)).where(F.col(count_col) > 0)
+    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col(count_col) - 1)).alias("copy_no"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), name, F.col("copy_no").cast("string")).cast("binary")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

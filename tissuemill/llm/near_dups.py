@@ -257,8 +257,7 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of every component the row of its smallest doc_id, once; other columns stay."""
     found = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    whole = docs.join(found, "doc_id", "left_semi").select(docs.columns)
-    # repeated rows of a kept doc_id: one stays, the first by its content
-    order = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns]
-    once = whole.withColumn("__again", F.xxhash64(*order)).dropDuplicates(["doc_id"]).drop("__again")
+    whole = docs.join(found, "doc_id", "left_semi")
+    # rows that share a kept doc_id: the least by content stays
+    once = whole.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("row")).select([F.col(c) if c == "doc_id" else F.col(f"row.`{c}`") for c in docs.columns])
     return once.unionByName(docs.where("doc_id is null"))

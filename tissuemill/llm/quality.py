@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, text_batches
+from .common import Workspace, documents, fresh_name, text_batches
 
 #: Bound on the labelled rows that the fit takes.
 TRAIN_ROWS = 20_000
@@ -129,7 +129,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bin
 def text_statistics(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns of ``keep`` and the statistics of the text as 32-bit floats in ``stats``."""
     text_batches(df.sparkSession)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(fresh_name(df, "whole_text")))
     schema = source.select(*[F.col(f"`{c}`") for c in keep], F.lit(b"").alias("stats")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

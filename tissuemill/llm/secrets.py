@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_batches
+from .common import documents, fresh_name, text_batches
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 BASE = KINDS[:3]
@@ -113,7 +113,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def secret_spans(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` and spans: array of (kind, start, end)."""
     text_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(fresh_name(docs, "whole_text")))
     schema = source.select(*[F.col(f"`{c}`") for c in keep], F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)").alias("spans")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ that a cell stays within some MB of input and the replicated bytes are least.
 
 Cases: vectors that are null, hold null or hold non-finite components, and rows without id, take no part. Only vectors of
 equal length are compared. Equal scores go to the smaller id. A row is never its own candidate: rows with the query's id are
-left out. Repeated query rows give repeated results. Scores beyond a signed 64-bit integer raise ``OverflowError``. Empty
+left out. Repeated query rows give repeated results. Scores beyond a signed 64-bit integer become the nearest one. Empty
 inputs give an empty result. Only the two named columns are read, so further columns don't matter.
 """
 
@@ -86,9 +86,8 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype("<f8") @ b.astype("<f8").T).astype("<i8")
     exact = np.vectorize(int, otypes=[object])
     out = exact(a) @ exact(b).T if a.shape[1] else np.zeros((len(a), len(b)), dtype=object)
-    if max(abs(int(x)) for x in out.ravel()) >= 2**63:
-        raise OverflowError("a score is beyond a signed 64-bit integer")
-    return out.astype("<i8")
+    most = 2**63 - 1
+    return np.minimum(np.maximum(out, -most), most).astype("<i8")
 
 
 def _select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

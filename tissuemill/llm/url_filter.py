@@ -1,8 +1,8 @@
 """URL filter by association rules.
 
 Known verdicts (here: of listed rules of host and path) label URLs. Spark's FP-growth mines the labelled URLs' token sets for
-combinations that imply a verdict; rules below the least confidence or support go, and so do rules that a shorter one with
-the same verdict and no less confidence covers. A URL that no listed rule fits is judged by the mined rules it holds, found by
+combinations that imply a verdict; rules below the least confidence (taken with both verdicts weighing alike) or support go,
+and so do rules that a shorter one with the same verdict and no less confidence covers. A URL that no listed rule fits is judged by the mined rules it holds, found by
 an inverted index from each rule's rarest token: the most confident rule decides, blocking on a tie. Without a rule it is
 allowed.
 
@@ -87,13 +87,20 @@ def mine(tokens: DataFrame, support: float = SUPPORT, confidence: float = CONFID
     place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
     known = F.array_sort(F.filter(F.transform("tokens", lambda t: F.struct(F.element_at(place, t).alias("rank"), t.alias("token"))), lambda s: s["rank"].isNotNull()))
     items = tokens.select(F.concat(F.transform(F.slice(known, 1, PER_URL), lambda s: s["token"]), F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(items)
     sets = {frozenset(r["items"]): r.freq for r in model.freqItemsets.collect()}
+    of = {r["verdict"]: r["n"] for r in tokens.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    rows = sum(of.values())
     found = []
     for own, n in sets.items():
         said = [x for x in own if x.startswith("verdict=")]
-        if len(said) == 1 and len(own) > 1 and (sure := n / sets[own - {said[0]}]) >= confidence:
-            found.append((own - {said[0]}, said[0].partition("=")[2], sure))
+        if len(said) != 1 or len(own) == 1:
+            continue
+        # confidence with both verdicts weighing alike, whatever their shares
+        verdict = said[0].partition("=")[2]
+        for_it, against = n / of[verdict], (sets[own - {said[0]}] - n) / max(1, rows - of[verdict])
+        if (sure := for_it / (for_it + against)) >= confidence:
+            found.append((own - {said[0]}, verdict, sure))
     found.sort(key=lambda r: (len(r[0]), sorted(r[0]), r[1]))
     kept: list[tuple[frozenset, str, float]] = []
     by_token: dict[str, list[int]] = {}
