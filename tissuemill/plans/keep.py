@@ -1,0 +1,23 @@
+"""Written tables in the cluster's shared folder, for loops of the registered queries."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a frame under ``spark.checkpoint.dir`` (a folder of our own where it is unset, as in tests) and reads it back."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tissuemill-")
+    root = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    step = iter(range(1 << 30))
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(step):05d}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
