@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import spatial  # noqa: E402, F401  (registers its queries)
+from . import spatial, tables  # noqa: E402, F401  (they register their queries)
