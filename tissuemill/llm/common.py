@@ -94,3 +94,17 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def remembered(memo: dict, keys: list[list], learn: Callable[[list], None], limit: int) -> list[list]:
+    """The memo's values for lists of keys; ``learn`` puts those of unknown keys into it, and it is emptied beyond ``limit`` entries."""
+    out = [[*map(memo.get, own)] for own in keys]
+    gaps = [[i for i, x in enumerate(values) if x is None] if None in values else [] for values in out]
+    fresh = [*{own[i] for own, places in zip(keys, gaps, strict=True) for i in places}]
+    if len(memo) + len(fresh) > limit:
+        memo.clear()
+    learn(fresh)
+    for own, places, values in zip(keys, gaps, out, strict=True):
+        for i in places:
+            values[i] = memo[own[i]]
+    return out

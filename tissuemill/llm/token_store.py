@@ -22,7 +22,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import Workspace, documents, runs, text_batches
+from .common import Workspace, documents, remembered, runs, text_batches
 from .sentencepiece_codec import tokenizer_path
 
 #: Ids in a segment and in a block, lanes of a block, steps between checkpoints.
@@ -39,7 +38,7 @@ SEGMENT_IDS, BLOCK_IDS, LANES, CHECKPOINT = 2_000_000, 65_536, 32, 128
 #: Bits of the frequency scale; states are in [2**31, 2**63) and move in words of 32 bits.
 SCALE, LOW = 20, 1 << 31
 #: Remembered words per worker; the memo is emptied when full.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_200_000
 
 #: Characters for which the vocabulary's normalizer and pattern act as ``_WORD`` does: printable ASCII, white space, and Latin
 #: letters and signs which have one lower-case form, are composed, and are no numbers outside 0-9.
@@ -57,23 +56,40 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.width = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
         self.memo: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, encoded as one text with spaces between: every word ends in the one piece that carries its end."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.width)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._bytes(words)
+        data, at = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
+        return [data[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember chunks without white space, and the words they consist of."""
+        memo, several = self.memo, [(c, _WORD.findall(c)) for c in chunks if not c.isalpha()]
+        words = {c for c in chunks if c.isalpha()}.union(*(parts for _, parts in several))
+        fresh = [*words.difference(memo)]
+        for i in range(0, len(fresh), 512):
+            run = fresh[i : i + 512]
+            memo.update(zip(run, self._words(run), strict=True))
+        for c, parts in several:
+            memo[c] = b"".join([memo[w] for w in parts])
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        words = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        seen = set(chain.from_iterable(own for own in words if own is not None))
-        fresh = list(seen.difference(memo))
-        if len(memo) + len(fresh) > MEMO_WORDS:
-            memo.clear()
-            fresh = list(seen)
-        for i in range(0, len(fresh), 4096):
-            run = fresh[i : i + 4096]
-            memo.update(zip(run, self._bytes(run), strict=True))
-        others = iter(self._bytes([t for t, own in zip(texts, words, strict=True) if own is None]))
-        return [b"".join(map(memo.__getitem__, own)) if own is not None else next(others) for own in words]
+        # no word spans white space, so that chunks between white space are remembered whole
+        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        found = remembered(self.memo, chunks, self._learn, MEMO_WORDS)
+        others = iter(self._bytes([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [b"".join(own) if p else next(others) for own, p in zip(found, plain, strict=True)]
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
