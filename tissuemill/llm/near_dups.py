@@ -5,10 +5,11 @@ the bucket's least hash, the count of leading zeros and ``MANTISSA`` bits after
 fixed order (densification). Bands of registers propose candidates, the registers' equal share corrected for chance
 collisions estimates the Jaccard similarity, and candidates near the threshold or above are confirmed on their full sets.
 
-Texts with equal sets are one class and are compared once. In the first round every class meets the smallest class of each
-band it shares; links are joined into components. In the second round the members of a band outside its commonest component
-meet all members of the band that aren't in their own component, so that no link between different components is passed
-over, and a large group whose members are linked already costs nothing. A link with similarity s is missed only if none of
+Texts with equal sets are one class and are compared once. First the classes of a band meet one pivot, the member that agrees
+with most others in most bands (the common source of copies, where there is one); links are joined into components. Then the
+members of bands with several components are indexed by their rarest shingles, of which linked sets must share one, and those
+that meet there and aren't in one component yet are compared. So no link between components is passed over, while a group
+whose members are linked, or only somewhat alike, costs little. A link with similarity s is missed only if none of
 its bands agree: (1 - s**r)**b, 1e-13 at 0.85 and 2e-9 at 0.8 with the 51 bands of 5 registers used here.
 
 Cases: null texts and texts without words have no set (n_shingles 0) and are linked with nothing. Texts shorter than a shingle
@@ -32,8 +33,10 @@ BUCKETS, MANTISSA, BAND = 256, 10, 5
 BANDS = BUCKETS // BAND
 #: Remembered words per worker; the memo is emptied when full.
 MEMO_WORDS = 500_000
+#: Cells that count shingles for the order of rarity (8 MB), and cells of a chunk.
+CELLS, CHUNK = 1 << 21, 1 << 13
 #: Standard errors below the threshold at which an estimate still counts as near.
-SLACK = 5.0
+SLACK = 6.0
 
 _RNG = np.random.default_rng(20240229)
 #: For every bucket the order in which it borrows from others.
@@ -149,7 +152,6 @@ def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose estimate isn't clearly below ``similarity``."""
     part = lambda c: classes.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
     both = pairs.join(part("a"), "a").join(part("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
-    least = similarity - SLACK * float(np.sqrt(similarity * (1 - similarity) / BUCKETS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +159,11 @@ def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, BUCKETS) for i in (2, 3))
             na, nb = (batch.column(i).to_numpy() for i in (4, 5))
-            # small sets fill few buckets, so that their estimate says little; the sizes still do
-            said = np.where(np.minimum(na, nb) < BUCKETS, np.minimum(na, nb) / np.maximum(na, nb), estimate(a, b, na, nb))
-            bound = np.where(np.minimum(na, nb) < BUCKETS, similarity - 1e-9, np.minimum(least, similarity - 1e-9))
-            keep = pa.array(said >= bound)
+            # a set of n hashes fills about so many buckets; the others borrow and say nothing new
+            filled = BUCKETS * -np.expm1(-np.minimum(na, nb) / BUCKETS)
+            least = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / filled)
+            sizes = np.minimum(na, nb) >= (similarity - 1e-9) * np.maximum(na, nb)
+            keep = pa.array(sizes & (estimate(a, b, na, nb) >= least))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(work, "a long, b long")
@@ -219,23 +222,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     text_rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     bands = work.write(_bands(classes), "bands")
-    shared = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = work.write(bands.join(shared, "band"), "members")
     work.drop(bands)
-    first = work.write(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
-    links = _links(work, first, classes, text_rows, words, percent)
+    # central members agree with many others in many bands; a group's common source is the most central of all
+    weight = members.groupBy("node").agg(F.sum(F.log2("n")).alias("weight"))
+    weighed = work.write(members.join(weight, "node").select("band", "node", "weight"), "weighed")
+    work.drop(members)
+    pivot = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("p")).select("band", (-F.col("p.m")).alias("x"))
+    stars = weighed.join(pivot, "band").where("node <> x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    tested = work.write(stars, "stars")
+    links = _links(work, tested, classes, text_rows, words, percent)
     labels = components(work, links)
 
-    # members with their component so far (their own node, where none), and the commonest component of each band
-    placed = work.write(members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
-    tally = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = tally.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("band", F.col("most.component").alias("main"))
-    rows = placed.join(mixed, "band")
-    minor = rows.where("component <> main").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = minor.join(rows.select("band", "node", "component", "main"), "band").where("cx <> component and (component = main or x < node)")
-    second = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _links(work, work.write(second, "rest"), classes, text_rows, words, percent)
-    labels = components(work, links.union(more))
+    # what is left: members of bands with several components
+    placed = work.write(weighed.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
+    work.drop(weighed)
+    nodes = _mixed(placed, "band").select("node", "component").distinct()
+    tokens = _rarest(work, text_rows.join(nodes, "node").select("node", "component", "text"), words, percent)
+    rows = _mixed(tokens, "token")
+    minor = rows.where("component <> main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("place").alias("px"), F.col("n").alias("nx"))
+    # behind their first common shingle both sets must have room for the intersection that a link needs
+    room = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place")) * (100 + percent) >= percent * (F.col("nx") + F.col("n"))
+    pairs = minor.join(rows, "token").where("cx <> component and (component = main or x < node)").where(room)
+    rest = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.union(_links(work, work.write(rest, "rest"), classes, text_rows, words, percent))
+    labels = components(work, links)
     return (
         all_rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").join(labels, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
@@ -243,6 +255,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
+def _mixed(placed: DataFrame, key: str) -> DataFrame:
+    """The members (key, node, component) of groups with several components, with the group's commonest one in ``main``."""
+    tally = placed.groupBy(key, "component").agg(F.count("*").alias("n"))
+    mixed = tally.groupBy(key).agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    return placed.join(mixed.select(key, F.col("most.component").alias("main")), key)
+
+
+def _rarest(work: Workspace, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """(token, node, component, place in the order, n): of each node's set of n the n - ceil(n * percent / 100) + 1 shingles that are rarest in ``held``.
+
+    Linked sets share at least ceil(n * percent / 100) shingles of either, so one of the rarest, in any order common to all.
+    Counts are kept in ``CELLS`` cells, which makes the order coarser and loses no pair; a shingle counted once has no partner.
+    """
+    spark = held.sparkSession
+    held = work.write(held, "held")
+    text_batches(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, cells = Shingler(words), np.zeros(CELLS, dtype=np.uint32)
+        for b in batches:
+            for text in b.column(2).to_pylist():
+                np.add.at(cells, (shingler(text) % np.uint64(CELLS)).astype(np.int64), 1)
+        for chunk, own in enumerate(cells.reshape(-1, CHUNK)):
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<u4").tobytes()], pa.binary())], names=["chunk", "at", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        cells = np.zeros(CHUNK, dtype=np.uint32)
+        for at, n in zip(group.column("at").to_pylist(), group.column("n").to_pylist(), strict=True):
+            cells[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        return pa.table({"chunk": group.column("chunk").slice(0, 1).cast(pa.int32()), "n": pa.array([cells.astype("<u4").tobytes()], pa.binary())})
+
+    chunks = held.mapInArrow(count, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
+    table = np.zeros((CELLS // CHUNK, CHUNK), dtype=np.uint32)
+    for r in chunks.collect():  # CELLS numbers, whatever the input
+        table[r.chunk] = np.frombuffer(r.n, "<u4")
+    shared = spark.sparkContext.broadcast(table.ravel())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, cells = Shingler(words), shared.value
+        for b in batches:
+            tokens, sizes, places, lengths = [], [], [], []
+            for text in b.column(2).to_pylist():
+                own = shingler(text)
+                n = cells[(own % np.uint64(CELLS)).astype(np.int64)]
+                first = np.lexsort((own, n))[: len(own) - -(-len(own) * percent // 100) + 1]
+                at = np.flatnonzero(n[first] > 1)
+                tokens.append(own[first[at]])
+                places.append(at)
+                sizes.append(len(at))
+                lengths.append(len(own))
+            columns = [np.concatenate(tokens).view(np.int64), np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), np.concatenate(places), np.repeat(lengths, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "node", "component", "place", "n"])
+
+    return work.write(held.mapInArrow(pick, "token long, node long, component long, place long, n long"), "tokens")
+
+
 def _links(work: Workspace, pairs: DataFrame, classes: DataFrame, text_rows: DataFrame, words: int, percent: int) -> DataFrame:
     near = work.write(_near(pairs, classes, percent / 100), "near")
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
