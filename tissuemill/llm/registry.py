@@ -7,7 +7,7 @@ import corpus_pipeline
 from .fingerprints import op10_fingerprints
 from .licenses import op8_licenses
 from .mixing import OP6_SQL, op6_mixing
-from .near_dups import op5_near_dups
+from .near_dups import OP5_SQL, op5_near_dups
 from .quality import op3_quality
 from .secrets import op9_secrets
 from .sentencepiece_codec import op1_sentencepiece
@@ -28,7 +28,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op2_topk_search": OP2_SQL, "op6_mixing": OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+SQL: dict[str, str] = {"op2_topk_search": OP2_SQL, "op5_near_dups": OP5_SQL, "op6_mixing": OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 def queries() -> dict:
