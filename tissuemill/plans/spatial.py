@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import qc
-from ..operators import graph, masks, patches, points, raster, tiles
+from ..operators import composites, graph, masks, patches, points, raster, tiles
+from ..sources import instruments
 from ..sources.transcripts import transform_points
 from . import elements as el
 from . import register
@@ -402,3 +403,36 @@ def metrics_histogram(spark, d):
 @register("scatter_histogram", "SELECT least(floor(l_quantity / 5.0), 9)::INTEGER AS bx, least(floor(l_suppkey / 10.0), 9)::INTEGER AS by, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 AND l_suppkey BETWEEN 0 AND 100 GROUP BY ALL")
 def scatter_histogram(spark, d):
     return qc.scatter_histogram(el.table(spark, d, "lineitem"), "l_quantity", "l_suppkey", 10, (0.0, 50.0), (0.0, 100.0))
+
+
+# composites
+
+
+@register("spatial_pixel_neighbors", sql(", m AS (SELECT y // 4 AS gy, x // 4 AS gx, instance AS label FROM lab GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY y // 4, x // 4 ORDER BY count(*) DESC, instance) = 1), k AS (SELECT * FROM m WHERE label <> 0) SELECT a.label AS a, b.label AS b, count(*) AS n FROM k a JOIN k b ON abs(a.gy - b.gy) + abs(a.gx - b.gx) = 1 GROUP BY ALL"))
+def spatial_pixel_neighbors(spark, d):
+    return composites.spatial_pixel_neighbors(el.labels(spark, d), 4, permutations=10)["enrichment"].where("n > 0").select("a", "b", F.col("n").cast("long"))
+
+
+@register("density_image", sql(f", b AS (SELECT floor(y)::BIGINT AS y, floor(x)::BIGINT AS x, count(*) AS n FROM pts WHERE x >= 0 AND x < 20 AND y >= 0 AND y < 30 GROUP BY 1, 2), p AS (SELECT i // 20 AS y, i % 20 AS x FROM range(600) r(i)) SELECT 0 AS c, p.y, p.x, {rsql(('coalesce(n / (SELECT max(n) FROM b), 0)', 'value'))} FROM p LEFT JOIN b USING (y, x)"))
+def density_image(spark, d):
+    return composites.density_image(el.points(spark, d), 30, 20, 0.0, 16).select("c", "y", "x", *rnd("value"))
+
+
+@register("signal_table")
+def signal_table(spark, d):
+    rows = el.image(spark, d, 8).withColumn("value", F.abs("value"))
+    images = rows.withColumn("image", F.when(F.col("y") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")))
+    return composites.signal_table(images, ["even", "odd"]).select("c", *rnd("even", "odd"))
+
+
+@register("regionprops_table", sql("SELECT 'r' AS region, instance, count(*) AS area FROM lab WHERE instance <> 0 GROUP BY ALL"))
+def regionprops_table(spark, d):
+    lab = el.labels(spark, d)
+    obs = lab.where("instance <> 0").select(F.lit("r").alias("region"), "instance").distinct()
+    return composites.regionprops_table(lab, obs, "r").select("region", "instance", "area")
+
+
+@register("spots_to_mask", sql(", s AS (SELECT c_custkey AS barcode, (c_custkey % 20) * 5.0 + 2.5 AS x, (c_custkey // 20) * 5.0 + 2.5 AS y, row_number() OVER (ORDER BY c_custkey) AS instance FROM customer), g AS (SELECT instance, floor(y)::BIGINT + dy AS py, floor(x)::BIGINT + dx AS px, x, y FROM s, range(-3, 4) a(dy), range(-3, 4) b(dx)) SELECT py AS y, px AS x, min(instance) AS instance FROM g WHERE pow(py + 0.5 - y, 2) + pow(px + 0.5 - x, 2) <= 4 GROUP BY 1, 2"))
+def spots_to_mask(spark, d):
+    spots = el.table(spark, d, "customer").select(F.col("c_custkey").alias("barcode"), ((F.col("c_custkey") % 20) * 5.0 + 2.5).alias("x"), (F.expr("c_custkey div 20") * 5.0 + 2.5).alias("y"))
+    return instruments.spots_to_mask(spots, 2.0)
