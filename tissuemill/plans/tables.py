@@ -81,7 +81,7 @@ def cluster_intensity(spark, d):
     return table.cluster_intensity(el.counts(spark, d), cells, cells.select("instance", F.col("region").alias("cluster"))).select("cluster", "gene", *rnd("value"))
 
 
-@register("som_intensity", sql(f", s AS (SELECT instance AS cluster, count(*) AS size FROM clu GROUP BY 1), i AS (SELECT instance AS cluster, c, sum(value) AS s FROM img JOIN clu USING (y, x) GROUP BY ALL), r AS (SELECT cluster, cluster % 2 AS metacluster, c, size, 100 * s / size AS value FROM i JOIN s USING (cluster)) SELECT metacluster, c, {rsql(('sum(value * size) / sum(size)', 'value'))} FROM r GROUP BY ALL"))
+@register("som_intensity", sql(f", s AS (SELECT instance AS cluster, count(*) AS size FROM clu GROUP BY 1), i AS (SELECT instance AS cluster, c, sum(value) AS s FROM img JOIN clu USING (y, x) GROUP BY ALL), r AS (SELECT cluster, (cluster % 2)::BIGINT AS metacluster, c, size, 100 * s / size AS value FROM i JOIN s USING (cluster)) SELECT metacluster, c, {rsql(('sum(value * size) / sum(size)', 'value'))} FROM r GROUP BY ALL"))
 def som_intensity(spark, d):
     mapping = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "cluster long, metacluster long")
     raster = el.cluster_raster(spark, d)
