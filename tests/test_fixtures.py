@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tissuemill.functions import qc
@@ -190,7 +191,7 @@ def test_tiles_equal_whole(spark, keep):
     for y, x in ((2, 2), (6, 6), (14, 3), (3, 15), (15, 15)):
         blocks[y : y + 3, x : x + 3] = 1
     whole = tiles.components_2d(blocks > 0.5)
-    got = np.array(back(tiles.segment(arrays.image_from_array(spark, blocks).drop("c"), tiles.threshold_model(0.5), 8, 4, 0.5, keep).withColumn("instance", F.dense_rank().over(__import__("pyspark").sql.Window.orderBy("instance"))), (24, 24)))
+    got = np.array(back(tiles.segment(arrays.image_from_array(spark, blocks).drop("c"), tiles.threshold_model(0.5), 8, 4, 0.5, keep).withColumn("instance", F.dense_rank().over(Window.orderBy("instance"))), (24, 24)))
     assert ((got > 0) == (whole > 0)).all() and len(set(zip(got.ravel(), whole.ravel(), strict=True))) == whole.max() + 1
 
 
