@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -96,15 +97,27 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def remembered(memo: dict, keys: list[list], learn: Callable[[list], None], limit: int) -> list[list]:
-    """The memo's values for lists of keys; ``learn`` puts those of unknown keys into it, and it is emptied beyond ``limit`` entries."""
-    out = [[*map(memo.get, own)] for own in keys]
-    gaps = [[i for i, x in enumerate(values) if x is None] if None in values else [] for values in out]
-    fresh = [*{own[i] for own, places in zip(keys, gaps, strict=True) for i in places}]
-    if len(memo) + len(fresh) > limit:
-        memo.clear()
-    learn(fresh)
-    for own, places, values in zip(keys, gaps, out, strict=True):
-        for i in places:
-            values[i] = memo[own[i]]
-    return out
+def remembered(memo: dict[str, bytes], chunks: pa.ListArray, learn: Callable[[list[str]], None], limit: int, dtype: str) -> list[np.ndarray]:
+    """For each list of chunks the memo's values, one after another, as numbers.
+
+    Chunks are made distinct first, so that the memo is asked once for each; ``learn`` puts those it doesn't hold into it, and it
+    is emptied beyond ``limit`` entries.
+    """
+    coded = chunks.flatten().dictionary_encode()
+    distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    values = [*map(memo.get, distinct)]
+    gaps = [i for i, x in enumerate(values) if x is None]
+    if gaps:
+        if len(memo) + len(gaps) > limit:
+            memo.clear()
+        learn([distinct[i] for i in gaps])
+        for i in gaps:
+            values[i] = memo[distinct[i]]
+    numbers = np.frombuffer(b"".join(values), dtype=dtype)
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // np.dtype(dtype).itemsize
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.append(0, np.cumsum(n))
+    flat = numbers[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], n)]
+    cuts = ends[np.append(0, np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))].tolist()
+    return [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -22,9 +22,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,7 @@ SEGMENT_IDS, BLOCK_IDS, LANES, CHECKPOINT = 2_000_000, 65_536, 32, 128
 #: Bits of the frequency scale; states are in [2**31, 2**63) and move in words of 32 bits.
 SCALE, LOW = 20, 1 << 31
 #: Remembered words per worker; the memo is emptied when full.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 1_000_000
 
 #: Characters for which the vocabulary's normalizer and pattern act as ``_WORD`` does: printable ASCII, white space, and Latin
 #: letters and signs which have one lower-case form, are composed, and are no numbers outside 0-9.
@@ -72,6 +74,7 @@ class WordTokenizer:
     def _learn(self, chunks: list[str]) -> None:
         """Remember chunks without white space, and the words they consist of."""
         memo, several = self.memo, [(c, _WORD.findall(c)) for c in chunks if not c.isalpha()]
+        memo[""] = b""
         words = {c for c in chunks if c.isalpha()}.union(*(parts for _, parts in several))
         fresh = [*words.difference(memo)]
         for i in range(0, len(fresh), 512):
@@ -86,10 +89,16 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         # no word spans white space, so that chunks between white space are remembered whole
         plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        found = remembered(self.memo, chunks, self._learn, MEMO_WORDS)
+        lowered = pc.utf8_lower(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()))
+        known = iter(remembered(self.memo, pc.utf8_split_whitespace(lowered), self._learn, MEMO_WORDS, self.width))
         others = iter(self._bytes([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(own) if p else next(others) for own, p in zip(found, plain, strict=True)]
+        return [next(known).tobytes() if p else next(others) for p in plain]
+
+
+@lru_cache(maxsize=2)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker, so that its memo outlives a task."""
+    return WordTokenizer(path)
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +230,7 @@ def write_store(work: Workspace, docs: DataFrame, tokenizer: str, end_id: int =
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, tokens = TaskContext.get().partitionId(), 0, WordTokenizer(tokenizer)
+        part, number, tokens = TaskContext.get().partitionId(), 0, worker_tokenizer(tokenizer)
         end = np.array([end_id], dtype=tokens.width).tobytes()
         held: list[bytes] = []
         doc_ids: list[int | None] = []
