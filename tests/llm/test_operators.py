@@ -118,7 +118,7 @@ def test_quality_held_out_accuracy(spark):
 
 
 def test_quality_edges(spark, odd, none):
-    stats = quality.text_statistics(odd, "text", ["doc_id", "stats" if False else "source"])
+    stats = quality.text_statistics(odd, "text", ["doc_id", "source"])
     empty = quality.fit(stats, spark.createDataFrame([], "doc_id long, label int"))
     assert {r.score for r in quality.apply_trees(stats, empty).collect()} == {0.5} and stats.count() == len(ODD)
     one = quality.fit(stats, spark.createDataFrame([(9, 1), (8, 1), (2, 7), (7, None), (None, 0)], "doc_id long, label int"))
