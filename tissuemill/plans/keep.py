@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import delete_at_exit, shared_dir
+
 
 def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a frame under ``spark.checkpoint.dir`` (a folder of our own where it is unset, as in tests) and reads it back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tissuemill-")
-    root = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    """A function that writes a frame under the shared folder and reads it back."""
+    root = f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}"
+    delete_at_exit(spark, root)
     step = iter(range(1 << 30))
 
     def keep(df: DataFrame) -> DataFrame:
