@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,28 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..shared import delete, delete_at_exit, shared_dir
+
 #: Rows per Arrow batch for frames that carry whole texts; keeps a batch to some MB.
 TEXT_ROWS_PER_BATCH = 512
 #: Python handles the texts of a batch in runs of about so many characters.
 RUN_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tissuemill-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 class Workspace:
     """Tables written to the shared folder, so that a lost executor costs a read and not the whole lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        delete_at_exit(spark, self.root)
         self._next = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -48,11 +38,8 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables which no later step reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._tissuemill_path)
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, table._tissuemill_path)
 
 
 def text_batches(spark: SparkSession) -> None:

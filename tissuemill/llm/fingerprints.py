@@ -46,10 +46,10 @@ def kmer_hashes(text: str) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    h, power, width = points + np.uint64(1), _BASE, 1
+    h, power, width = points + np.uint64(1), int(_BASE), 1
     while width < K and n - 2 * width + 1 > 0:  # doubles the run; K is a power of two
-        h = h[:-width] * power + h[width:]
-        power, width = power * power, 2 * width
+        h = h[:-width] * np.uint64(power) + h[width:]
+        power, width = (power * power) & 0xFFFFFFFFFFFFFFFF, 2 * width
     if width < K:  # shorter than K: the text is one k-mer
         value = 0
         for p in points.tolist():
