@@ -99,12 +99,12 @@ def mean_normalized(spark, d):
 
 @register("signal_to_noise")
 def signal_to_noise(spark, d):
-    return raster.signal_to_noise(el.image(spark, d, 8).withColumn("value", F.abs("value"))).select("c", *rnd("threshold", "snr"))
+    return raster.signal_to_noise(el.image(spark, d).withColumn("value", F.abs("value"))).select("c", *rnd("threshold", "snr"))
 
 
 @register("pixel_preprocess")
 def pixel_preprocess(spark, d):
-    rows = el.image(spark, d, 8).withColumn("value", F.abs("value")).withColumn("image", F.lit("a"))
+    rows = el.image(spark, d).withColumn("value", F.abs("value")).withColumn("image", F.lit("a"))
     return raster.pixel_preprocess(rows).select("image", "c", "y", "x", *rnd("value"))
 
 
@@ -280,7 +280,7 @@ def read_transcripts(spark, d):
 
 @register("gaussian_tiled")
 def gaussian_tiled(spark, d):
-    return tiles.gaussian_filter(el.image(spark, d, 2), 1.0, 8).select("c", "y", "x", *rnd("value"))
+    return tiles.gaussian_filter(el.image(spark, d), 1.0, 8).select("c", "y", "x", *rnd("value"))
 
 
 @register("top_hat_tiled", sql(", i AS (SELECT * FROM img WHERE c < 2), e AS (SELECT a.c, a.y, a.x, any_value(a.value) AS v, min(b.value) AS lo FROM i a JOIN i b ON a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) SELECT a.c, a.y, a.x, round(any_value(a.v) - max(b.lo) + 0.0, 6) AS value FROM e a JOIN e b ON a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL"))
@@ -420,7 +420,7 @@ def density_image(spark, d):
 
 @register("signal_table")
 def signal_table(spark, d):
-    rows = el.image(spark, d, 8).withColumn("value", F.abs("value"))
+    rows = el.image(spark, d).withColumn("value", F.abs("value"))
     images = rows.withColumn("image", F.when(F.col("y") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")))
     return composites.signal_table(images, ["even", "odd"]).select("c", *rnd("even", "odd"))
 

@@ -225,8 +225,8 @@ def lloyd_step(spark, d):
 
 @register("flowsom")
 def flowsom(spark, d):
-    wide = el.table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(8)])
-    return cluster.flowsom(wide, ["vec_id"], [f"c{i}" for i in range(8)], width=6, height=6, metaclusters=6)[0]
+    wide = el.table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(64)])
+    return cluster.flowsom(wide, ["vec_id"], [f"c{i}" for i in range(64)], width=6, height=6, metaclusters=6)[0]
 
 
 @register("rank_genes", sql(f""", v AS (SELECT c.instance, c.region, g.gene, coalesce(n.value, 0) AS value FROM cel c CROSS JOIN (SELECT DISTINCT gene FROM cnt) g LEFT JOIN cnt n ON n.instance = c.instance AND n.gene = g.gene),
