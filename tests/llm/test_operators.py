@@ -354,6 +354,17 @@ def test_weak_parts_need_their_complement():
     assert len(secrets.scan(many)) == 4000
 
 
+def test_secrets_pair_with_endpoints_of_their_scope():
+    near = "https://db.example.org/x\npassword: hunter22"
+    assert [s[0] for s in secrets.scan(near)] == ["endpoint", "weak"]
+    far = "https://db.example.org/x" + " x" * 300 + "\npassword: hunter22"
+    assert secrets.scan(far) == [("endpoint", 0, 24), ("weak", len(far) - 8, len(far))]
+    assert secrets.scan("https://db.example.org/x\n\npassword: hunter22") == []
+    assert secrets.scan("https://a.example.org/2024/a-long-name-of-a-page-17 https://b.example.org/x") == []
+    assert [s[0] for s in secrets.scan("https://a.example.org/x?token=hunter22")] == ["endpoint", "weak"]
+    assert len(secrets.scan("https://db.example.org/x pass=secret1 " * 2000)) == 4000
+
+
 def test_redaction(spark):
     text = 'a token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" z'
     frame = spark.createDataFrame([(1, text, len(text)), (2, "clean", 99), (3, None, None)], "doc_id long, text string, n_chars long")

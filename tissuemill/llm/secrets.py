@@ -2,9 +2,10 @@
 
 Base spans are found by three patterns (assign, access, hex) on their own. Weak candidates - identifiers, short or unnamed
 secrets, endpoints - are reported only where complementary parts co-occur: within a scope (a paragraph, cut by blank lines) an
-interval join pairs identifiers with secrets whose spans are at most ``REACH`` code points apart, and a secret with the
-endpoints in reach. Paired identifiers and secrets are reported as ident and weak; an endpoint in reach of such a pair as
-endpoint. Intervals are sorted once and swept, so that time grows with their number and the pairs' ends, not with all pairs.
+interval join pairs identifiers with secrets whose spans are at most ``REACH`` code points apart, and a secret with every
+endpoint of the scope, with or without an identifier. Paired parts are reported as ident, weak and endpoint. An unnamed secret
+inside an endpoint is a piece of that endpoint and pairs with identifiers only. Intervals are sorted once and swept; endpoints
+mark scopes, so that time grows with their number and the identifiers' pairs, not with all pairs.
 
 Cases: null and empty texts have no spans. Text is taken whole. Positions are code points, ends exclusive; spans are ordered
 by start, then kind as in ``KINDS``, then end. Rows repeat as they are; further columns are not read.
@@ -27,7 +28,7 @@ from .common import documents, fresh_name, text_batches
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 BASE = KINDS[:3]
-#: Code points between the parts of a credential.
+#: Code points between an identifier and its secret.
 REACH = 200
 
 # The patterns of the base kinds.
@@ -68,9 +69,11 @@ def linked_spans(text: str) -> list[tuple[str, int, int]]:
     idents = [m.span(1) for m in _IDENT.finditer(text)]
     if "AKIA" in text:
         idents += [m.span() for m in ACCESS.finditer(text) if 8 <= m.end() - m.start()]
-    if not idents:
+    endpoints = [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text else []
+    if not idents and not endpoints:
         return []
-    secrets = {m.span(1) for m in _WEAK.finditer(text)} | {m.span() for m in _BARE.finditer(text) if _entropy(m[0]) >= 3.5}
+    named = {m.span(1) for m in _WEAK.finditer(text)}
+    secrets = named | {m.span() for m in _BARE.finditer(text) if _entropy(m[0]) >= 3.5}
     secrets -= set(idents)
     if not secrets:
         return []
@@ -82,19 +85,23 @@ def linked_spans(text: str) -> list[tuple[str, int, int]]:
         most = max(most, s[1])
         running.append(most)
     starts = [s[0] for s in idents]
-    out, ends_of = set(), []
+    # matches don't overlap, so that both ends ascend
+    begins = [s[0] for s in endpoints]
+    reached = {scope(s) for s in endpoints}
+
+    def within_endpoint(s: tuple[int, int]) -> bool:
+        at = bisect_right(begins, s[0]) - 1
+        return at >= 0 and s[1] <= endpoints[at][1]
+
+    out, linked = set(), set()
     for secret in sorted(secrets):
-        partners = [idents[i] for i in _in_reach(running, starts, range(len(idents)), secret) if scope(idents[i]) == scope(secret) and idents[i][1] >= secret[0] - REACH and (idents[i][1] <= secret[0] or idents[i][0] >= secret[1])]
-        if partners:
+        own = scope(secret)
+        partners = [idents[i] for i in _in_reach(running, starts, range(len(idents)), secret) if scope(idents[i]) == own and idents[i][1] >= secret[0] - REACH and (idents[i][1] <= secret[0] or idents[i][0] >= secret[1])]
+        if partners or (own in reached and (secret in named or not within_endpoint(secret))):
             out.add(("weak", *secret))
             out.update(("ident", *p) for p in partners)
-            ends_of.append(secret)
-    if ends_of:
-        begins = [s[0] for s in ends_of]
-        for m in _ENDPOINT.finditer(text):
-            at = bisect_left(begins, m.start() - REACH - max(e - s for s, e in ends_of))
-            if any(s <= m.end() + REACH and e >= m.start() - REACH and scope((s, e)) == scope(m.span()) for s, e in ends_of[at : bisect_right(begins, m.end() + REACH)]):
-                out.add(("endpoint", *m.span()))
+            linked.add(own)
+    out.update(("endpoint", *s) for s in endpoints if scope(s) in linked)
     return list(out)
 
 
