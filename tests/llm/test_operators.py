@@ -296,6 +296,14 @@ def test_mined_rules_match_brute_force(spark):
         assert r.mined == ("block" if max(hit, default=(0, False))[1] else "allow")
 
 
+def test_mining_takes_all_tokens(spark):
+    common = [f"c{i}" for i in range(9)]
+    rows = [([*common, "bad" if i % 4 == 0 else "good"], "block" if i % 4 == 0 else "allow") for i in range(40)]
+    assert {own: v for own, v, _ in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))} == {("bad",): "block", ("good",): "allow"}
+    rows = [([f"t{i}"], "block" if i % 2 else "allow") for i in range(300)]
+    assert {own[0]: v for own, v, _ in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))} == {own[0]: v for own, v in rows}
+
+
 # 8
 
 

@@ -6,8 +6,8 @@ and so do rules that a shorter one with the same verdict and no less confidence
 an inverted index from each rule's rarest token: the most confident rule decides, blocking on a tie. Without a rule it is
 allowed.
 
-The mined model is bounded: it knows the ``VOCABULARY`` commonest tokens and takes of a URL its ``PER_URL`` commonest known
-ones, so that frequent sets number at most 2**(PER_URL + 1) / support. Every labelled URL takes part in the counts.
+Every token of every labelled URL takes part in the counts; FP-growth itself drops those below the support. The frequent sets go
+to the driver. Their number grows with the subsets of tokens that labelled URLs share, not with the table.
 
 Cases: null URLs and URLs without ``://`` have an empty host and path, fit no rule and are allowed. An empty table, or one
 without labelled URLs, mines no rule. Repeated URLs count as often as they stand. Of the table only the named columns are read.
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-VOCABULARY, PER_URL = 256, 8
 SUPPORT, CONFIDENCE = 0.002, 0.9
 
 # The listed rules, (verdict, host, path).
@@ -80,15 +79,10 @@ def url_tokens(urls: DataFrame) -> DataFrame:
 
 def mine(tokens: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float]]:
     """Rules (tokens, verdict, confidence) from rows (tokens, verdict); pruned, rarest token first."""
-    counted = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(VOCABULARY).collect()
-    rank = {r["token"]: i for i, r in enumerate(counted)}
-    if not rank:
-        return []
-    place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    known = F.array_sort(F.filter(F.transform("tokens", lambda t: F.struct(F.element_at(place, t).alias("rank"), t.alias("token"))), lambda s: s["rank"].isNotNull()))
-    items = tokens.select(F.concat(F.transform(F.slice(known, 1, PER_URL), lambda s: s["token"]), F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
+    items = tokens.where("tokens is not null").select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(items)
     sets = {frozenset(r["items"]): r.freq for r in model.freqItemsets.collect()}
+    rank = {t: i for i, t in enumerate(sorted((t for own in sets if len(own) == 1 for t in own), key=lambda t: (-sets[frozenset([t])], t)))}
     of = {r["verdict"]: r["n"] for r in tokens.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
     rows = sum(of.values())
     found = []
