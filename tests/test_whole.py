@@ -20,3 +20,32 @@ def test_flowsom_sees_all_components(spark, tmp_path):
     rows = plans.queries()["flowsom"](spark, str(tmp_path)).collect()
     one, two = ({r.metaclustering for r in rows if r.vec_id % 2 == k} for k in (0, 1))
     assert len(rows) == 200 and not one & two
+
+
+def test_operators_defaults(spark, monkeypatch):
+    """Queries leave rounds, iterations and permutations to the operators."""
+    import inspect
+
+    from tissuemill.operators import composites, graph
+
+    seen = {}
+
+    def watch(module, name, argument):
+        own = getattr(module, name)
+        signature = inspect.signature(own)
+
+        def call(*args, **more):
+            bound = signature.bind(*args, **more)
+            bound.apply_defaults()
+            seen[name] = bound.arguments[argument] == signature.parameters[argument].default
+            return spark.range(0).selectExpr("id as node", "0 as niche", "0 as a", "0 as b", "0 as n", "0 as z") if name != "spatial_pixel_neighbors" else {"enrichment": spark.range(0).selectExpr("0 as a", "0 as b", "0 as n")}
+
+        monkeypatch.setattr(module, name, call)
+
+    watch(graph, "label_propagation", "rounds")
+    watch(graph, "neighborhood_lda", "max_iter")
+    watch(graph, "enrichment", "permutations")
+    watch(composites, "spatial_pixel_neighbors", "permutations")
+    for name in ("label_propagation", "nhood_lda", "nhood_enrichment", "spatial_pixel_neighbors"):
+        plans.queries()[name](spark, DIR)
+    assert seen == dict.fromkeys(("label_propagation", "neighborhood_lda", "enrichment", "spatial_pixel_neighbors"), True)

@@ -348,7 +348,7 @@ def observed_pairs(spark, d):
 @register("nhood_enrichment")
 def nhood_enrichment(spark, d):
     c = grid_cells(spark, d)
-    return graph.enrichment(graph.lattice(c), c.select("node", "label"), 20).select("a", "b", "n", *rnd("z"))
+    return graph.enrichment(graph.lattice(c), c.select("node", "label")).select("a", "b", "n", *rnd("z"))
 
 
 @register("connected_components", sql(f""", nd AS (SELECT y * {el.WIDTH} + x AS node, y, x, instance AS label FROM lab)
@@ -371,7 +371,7 @@ def nhood_kmeans(spark, d):
 @register("nhood_lda")
 def nhood_lda(spark, d):
     c = grid_cells(spark, d)
-    return graph.neighborhood_lda(graph.lattice(c), c.select("node", "label"), 3, max_iter=5).select("node", "niche")
+    return graph.neighborhood_lda(graph.lattice(c), c.select("node", "label"), 3).select("node", "niche")
 
 
 @register("label_propagation")
@@ -379,7 +379,7 @@ def label_propagation(spark, d):
     from .keep import keeper
 
     c = grid_cells(spark, d)
-    return graph.label_propagation(graph.lattice(c, diagonal=True), c.select("node"), 4, keeper(spark))
+    return graph.label_propagation(graph.lattice(c, diagonal=True), c.select("node"), keep=keeper(spark))
 
 
 # quality-control data
@@ -410,7 +410,7 @@ def scatter_histogram(spark, d):
 
 @register("spatial_pixel_neighbors", sql(", m AS (SELECT y // 4 AS gy, x // 4 AS gx, instance AS label FROM lab GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY y // 4, x // 4 ORDER BY count(*) DESC, instance) = 1), k AS (SELECT * FROM m WHERE label <> 0) SELECT a.label AS a, b.label AS b, count(*) AS n FROM k a JOIN k b ON abs(a.gy - b.gy) + abs(a.gx - b.gx) = 1 GROUP BY ALL"))
 def spatial_pixel_neighbors(spark, d):
-    return composites.spatial_pixel_neighbors(el.labels(spark, d), 4, permutations=10)["enrichment"].where("n > 0").select("a", "b", F.col("n").cast("long"))
+    return composites.spatial_pixel_neighbors(el.labels(spark, d), 4)["enrichment"].where("n > 0").select("a", "b", F.col("n").cast("long"))
 
 
 @register("density_image", sql(f", b AS (SELECT floor(y)::BIGINT AS y, floor(x)::BIGINT AS x, count(*) AS n FROM pts WHERE x >= 0 AND x < 20 AND y >= 0 AND y < 30 GROUP BY 1, 2), p AS (SELECT i // 20 AS y, i % 20 AS x FROM range(600) r(i)) SELECT 0 AS c, p.y, p.x, {rsql(('coalesce(n / (SELECT max(n) FROM b), 0)', 'value'))} FROM p LEFT JOIN b USING (y, x)"))
