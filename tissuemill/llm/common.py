@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from ..shared import delete, delete_at_exit, shared_dir
 
-#: Rows per Arrow batch for frames that carry whole texts; keeps a batch to some MB.
-TEXT_ROWS_PER_BATCH = 512
-#: Python handles the texts of a batch in runs of about so many characters.
-RUN_CHARS = 4_000_000
+#: Bytes of an Arrow batch while a table is written, and of the slices in which Python handles the texts of a batch.
+BATCH_BYTES, RUN_BYTES = 8 << 20, 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hold Arrow batches to ``BATCH_BYTES`` for the jobs run inside; the caller's setting comes back afterwards."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_SETTING) if before is None else spark.conf.set(_BATCH_SETTING, before)
 
 
 class Workspace:
@@ -31,7 +42,8 @@ class Workspace:
         """Write ``df`` once and return the table read back with the same schema."""
         self._next += 1
         path = f"{self.root}/{self._next:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tissuemill_path = path
         return out
@@ -42,34 +54,16 @@ class Workspace:
             delete(self.spark, table._tissuemill_path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch before a text-carrying Python stage is planned."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
-
-
-def runs(texts: list, limit: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
-    """Cut a list of texts into [start, end) runs of about ``limit`` characters; every text is in exactly one run."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices with about ``limit`` bytes in the texts (or binaries) of column ``at``; every row is in exactly one.
 
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield out
-
-    return df.mapInArrow(each, schema)
+    A plan may run under any setting of its session, so that a batch can hold far more than Python should copy at once.
+    """
+    for b in batches:
+        if b.num_rows:
+            part = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            yield from (b.slice(a, z - a) for a, z in zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

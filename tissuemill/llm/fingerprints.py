@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, text_batches
+from .common import Workspace, documents, slices
 
 K, TUPLE, SKETCHES = 8, 2, 64
 #: Hex digits of a fingerprint's entry.
@@ -112,7 +112,6 @@ def _row(key: int | None, text: str, own: np.ndarray, following: str, theirs: np
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text and its edited form: columns of ``_RESULT``."""
     spark = docs.sparkSession
-    text_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").desc())
@@ -125,7 +124,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
         part, last = TaskContext.get().partitionId(), None
         edge = lambda role, x: (x[0], *[None] * 6, part, role, x[1])
         pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-        for b in batches:
+        for b in slices(batches, 1):
             out = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = sketch(text)

@@ -12,14 +12,17 @@ that meet there and aren't in one component yet are compared. So no link between
 whose members are linked, or only somewhat alike, costs little. A link with similarity s is missed only if none of
 its bands agree: (1 - s**r)**b, 1e-13 at 0.85 and 2e-9 at 0.8 with the 51 bands of 5 registers used here.
 
+Candidates are confirmed on their whole sorted sets of hashes, which are written once for the classes that have candidates.
+
 Cases: null texts and texts without words have no set (n_shingles 0) and are linked with nothing. Texts shorter than a shingle
-are one shingle. Rows without doc_id are compared like others but neither name a component nor join one: their component_id
-is null and they are kept. Repeated rows repeat. Empty tables give empty results. Further columns are not read.
+are one shingle. Rows without doc_id neither name a component nor join one: their component_id is null and they are kept.
+Rows that share a doc_id but not a text are grouped each by its own text. Repeated rows repeat. Empty tables give empty
+results. Further columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, runs, text_batches
+from .common import Workspace, documents, slices
 
 BUCKETS, MANTISSA, BAND = 256, 10, 5
 BANDS = BUCKETS // BAND
@@ -119,19 +122,23 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.minimum(jaccard, most)
 
 
+def set_id(shingles: np.ndarray) -> bytes:
+    """Name of a set of shingle hashes; equal for equal sets only (128 bits)."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, set_id (hash of the set, null without one) and the registers of every row."""
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for b in batches:
-            texts, size, ids, regs = b.column(1).to_pylist(), [], [], []
-            for text in texts:
+        for b in slices(batches, 1):
+            size, ids, regs = [], [], []
+            for text in b.column(1).to_pylist():
                 s = shingler(text)
                 size.append(len(s))
-                ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                ids.append(set_id(s) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "registers"])
 
@@ -169,24 +176,44 @@ def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _sets(work: Workspace, nodes: DataFrame, classes: DataFrame, text_rows: DataFrame, words: int, repeats: bool) -> DataFrame:
+    """(node, shingles) of ``nodes``: the sorted hashes of each set, from a text of the class's first document, written once."""
+    wanted = nodes.join(classes.select("node", "set_id", "first"), "node")
+    rows = text_rows.join(wanted, "first").select("node", "set_id", "text")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in slices(batches, 2):
+            found = [shingler(text) for text in b.column(2).to_pylist()]
+            # rows that share the document's id may hold another text
+            own = pa.array([set_id(s) == name for s, name in zip(found, b.column(1).to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(own), pa.array([s.tobytes() for s in found], pa.binary()).filter(own)], names=["node", "shingles"])
+
+    sets = work.write(rows.mapInArrow(shingle, "node long, shingles binary"), "sets")
+    return work.write(sets.dropDuplicates(["node"]), "sets-once") if repeats else sets
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of common elements of two sorted sets."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
+    return int((large[at] == small).sum()) if len(small) else 0
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    part = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = pairs.join(part("b"), "b").join(part("a"), "a").select("a", "b", "sa", "sb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last, last_set = Shingler(words), None, None
         for batch in batches:
-            ka, kb = [], []
-            texts_a, texts_b = batch.column(2), batch.column(3)
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if a != last:
-                    last, last_set = a, shingler(texts_a[i].as_py())
-                other = shingler(texts_b[i].as_py())
-                common = len(np.intersect1d(last_set, other, assume_unique=True))
-                if 100 * common >= percent * (len(last_set) + len(other) - common):
-                    ka.append(a)
-                    kb.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ka, pa.int64()), pa.array(kb, pa.int64())], names=["a", "b"])
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = _shared(x, y)
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(work, "a long, b long")
 
@@ -211,72 +238,89 @@ def components(work: Workspace, links: DataFrame) -> DataFrame:
         labels = kept
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of the sets of ``words``-word shingles."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "neardup")
+def grouped(work: Workspace, docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, set_id, component and component_id of every row of ``docs``, written.
+
+    ``component`` is a number of the group, null for rows without a set or doc_id; ``component_id`` is its smallest doc_id.
+    """
     all_rows = work.write(signatures(docs, words, id_col, text_col), "signatures")
-    # a class of equal sets is named by its smallest doc_id
-    named = all_rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    classes = work.write(named.join(all_rows.select("set_id", F.col("doc_id").alias("node"), "n_shingles", "registers"), ["set_id", "node"]).dropDuplicates(["set_id", "node"]), "classes")
-    text_rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    usable = all_rows.where("set_id is not null and doc_id is not null")
+    named = usable.groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    firsts = named.join(usable.select("set_id", F.col("doc_id").alias("first"), "n_shingles", "registers"), ["set_id", "first"]).dropDuplicates(["set_id"])
+    # a class of equal sets has a number of its own: two texts may share a doc_id
+    classes = work.write(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
+    repeats = bool(usable.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    text_rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("first"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    links = lambda pairs, sets=None: _links(work, pairs, classes, sets or (lambda nodes: _sets(work, nodes, classes, text_rows, words, repeats)), percent)
 
     bands = work.write(_bands(classes), "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # tables of one row a key are written, so that a join splits the other side's hot keys
+    shared = work.write(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = work.write(bands.join(shared, "band"), "members")
-    work.drop(bands)
+    work.drop(bands, shared)
     # central members agree with many others in many bands; a group's common source is the most central of all
     weight = members.groupBy("node").agg(F.sum(F.log2("n")).alias("weight"))
     weighed = work.write(members.join(weight, "node").select("band", "node", "weight"), "weighed")
     work.drop(members)
-    pivot = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("p")).select("band", (-F.col("p.m")).alias("x"))
+    pivot = work.write(weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("p")).select("band", (-F.col("p.m")).alias("x")), "pivots")
     stars = weighed.join(pivot, "band").where("node <> x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     tested = work.write(stars, "stars")
-    links = _links(work, tested, classes, text_rows, words, percent)
-    labels = components(work, links)
+    work.drop(pivot)
+    first = links(tested)
+    labels = components(work, first)
 
     # what is left: members of bands with several components
     placed = work.write(weighed.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
     work.drop(weighed)
-    nodes = _mixed(placed, "band").select("node", "component").distinct()
-    tokens = _rarest(work, text_rows.join(nodes, "node").select("node", "component", "text"), words, percent)
-    rows = _mixed(tokens, "token")
+    nodes = work.write(_mixed(work, placed, "band").select("node", "component").distinct(), "mixed-nodes")
+    work.drop(placed)
+    sets = _sets(work, nodes.select("node"), classes, text_rows, words, repeats)
+    tokens = _rarest(work, sets.join(nodes, "node").select("node", "component", "shingles"), percent)
+    rows = _mixed(work, tokens, "token")
     minor = rows.where("component <> main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("place").alias("px"), F.col("n").alias("nx"))
     # behind their first common shingle both sets must have room for the intersection that a link needs
     room = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place")) * (100 + percent) >= percent * (F.col("nx") + F.col("n"))
     pairs = minor.join(rows, "token").where("cx <> component and (component = main or x < node)").where(room)
     rest = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.union(_links(work, work.write(rest, "rest"), classes, text_rows, words, percent))
-    labels = components(work, links)
-    return (
-        all_rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").join(labels, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labels = components(work, first.union(links(work.write(rest, "rest"), lambda _: sets)))
+    least = work.write(labels.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id")), "least")
+    known = work.write(
+        classes.select("set_id", "node", "first").join(labels.join(least, "component"), "node", "left")
+        .select("set_id", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "first").alias("component_id")),
+        "known",
     )
+    columns = ["doc_id", "n_shingles", "set_id"]
+    alone = all_rows.where("set_id is null or doc_id is null").select(*columns, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return work.write(usable.select(columns).join(known, "set_id").select(*columns, "component", "component_id").union(alone), "grouped")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of the sets of ``words``-word shingles."""
+    rows = grouped(Workspace(docs.sparkSession, "neardup"), docs, words, percent, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _mixed(placed: DataFrame, key: str) -> DataFrame:
+def _mixed(work: Workspace, placed: DataFrame, key: str) -> DataFrame:
     """The members (key, node, component) of groups with several components, with the group's commonest one in ``main``."""
     tally = placed.groupBy(key, "component").agg(F.count("*").alias("n"))
     mixed = tally.groupBy(key).agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    return placed.join(mixed.select(key, F.col("most.component").alias("main")), key)
+    return placed.join(work.write(mixed.select(key, F.col("most.component").alias("main")), "mixed"), key)
 
 
-def _rarest(work: Workspace, held: DataFrame, words: int, percent: int) -> DataFrame:
-    """(token, node, component, place in the order, n): of each node's set of n the n - ceil(n * percent / 100) + 1 shingles that are rarest in ``held``.
+def _rarest(work: Workspace, held: DataFrame, percent: int) -> DataFrame:
+    """(token, node, component, place in the order, n) from (node, component, shingles): of each node's set of n the n - ceil(n * percent / 100) + 1 shingles that are rarest in ``held``.
 
     Linked sets share at least ceil(n * percent / 100) shingles of either, so one of the rarest, in any order common to all.
     Counts are kept in ``CELLS`` cells, which makes the order coarser and loses no pair; a shingle counted once has no partner.
     """
     spark = held.sparkSession
     held = work.write(held, "held")
-    text_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cells = Shingler(words), np.zeros(CELLS, dtype=np.uint32)
+        cells = np.zeros(CELLS, dtype=np.uint32)
         for b in batches:
-            for text in b.column(2).to_pylist():
-                np.add.at(cells, (shingler(text) % np.uint64(CELLS)).astype(np.int64), 1)
+            for own in b.column(2):
+                np.add.at(cells, (np.frombuffer(own.as_buffer(), "<u8") % np.uint64(CELLS)).astype(np.int64), 1)
         for chunk, own in enumerate(cells.reshape(-1, CHUNK)):
             at = np.flatnonzero(own)
             if len(at):
@@ -295,11 +339,13 @@ def _rarest(work: Workspace, held: DataFrame, words: int, percent: int) -> DataF
     shared = spark.sparkContext.broadcast(table.ravel())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cells = Shingler(words), shared.value
+        cells = shared.value
         for b in batches:
+            if not b.num_rows:
+                continue
             tokens, sizes, places, lengths = [], [], [], []
-            for text in b.column(2).to_pylist():
-                own = shingler(text)
+            for packed in b.column(2):
+                own = np.frombuffer(packed.as_buffer(), "<u8")
                 n = cells[(own % np.uint64(CELLS)).astype(np.int64)]
                 first = np.lexsort((own, n))[: len(own) - -(-len(own) * percent // 100) + 1]
                 at = np.flatnonzero(n[first] > 1)
@@ -310,13 +356,17 @@ def _rarest(work: Workspace, held: DataFrame, words: int, percent: int) -> DataF
             columns = [np.concatenate(tokens).view(np.int64), np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), np.concatenate(places), np.repeat(lengths, sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "node", "component", "place", "n"])
 
-    return work.write(held.mapInArrow(pick, "token long, node long, component long, place long, n long"), "tokens")
+    tokens = work.write(held.mapInArrow(pick, "token long, node long, component long, place long, n long"), "tokens")
+    work.drop(held)
+    return tokens
 
 
-def _links(work: Workspace, pairs: DataFrame, classes: DataFrame, text_rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(work: Workspace, pairs: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     near = work.write(_near(pairs, classes, percent / 100), "near")
-    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    return work.write(_confirm(near, text_rows.join(wanted, "node"), words, percent).distinct(), "links")
+    sets = sets_of(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct())
+    out = work.write(_confirm(near, sets, percent).distinct(), "links")
+    work.drop(sets)
+    return out
 
 
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,9 +388,32 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, coalesce(m.c, s.doc_id) AS compo
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near copies: of every component the row of its smallest doc_id, once; other columns stay."""
-    found = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    whole = docs.join(found, "doc_id", "left_semi")
-    # rows that share a kept doc_id: the least by content stays
-    once = whole.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("row")).select([F.col(c) if c == "doc_id" else F.col(f"row.`{c}`") for c in docs.columns])
-    return once.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` without near copies: of every component the row of its smallest doc_id; other columns stay.
+
+    Where rows share that doc_id and the component, the least by content stays, once; rows without words that share a doc_id
+    stay once too. Rows without doc_id stay.
+    """
+    work = Workspace(docs.sparkSession, "neardup-filter")
+    rows = grouped(work, docs, words, percent).where("doc_id is not null")
+    # of a component with several rows of its smallest doc_id the texts must be looked at; commonly there are none
+    tally = work.write(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("k")).where("k = 1").select("doc_id", "n"), "kept")
+    once = docs.join(tally.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    out = once.unionByName(docs.where("doc_id is null"))
+    several = tally.where("n > 1").select("doc_id")
+    if not several.limit(1).count():
+        return out
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.join(several, "doc_id", "left_semi").select(docs.columns).toDF(*plain)
+    text_at = docs.columns.index("text")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in slices(batches, text_at):
+            found = [shingler(x) for x in b.column(text_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(s) if len(s) else None for s in found], pa.binary())], names=[*plain, "own_set"])
+
+    sets = held.mapInArrow(name, held.withColumn("own_set", F.lit(None).cast("binary")).schema)
+    kept = rows.where("doc_id = component_id").select(F.col("doc_id").alias("own"), F.col("set_id").alias("kept_set"), "component").distinct()
+    both = sets.join(kept, (F.col(plain[docs.columns.index("doc_id")]) == F.col("own")) & F.col("own_set").eqNullSafe(F.col("kept_set")))
+    least = both.groupBy("own", "component").agg(F.min(F.struct(*plain)).alias("row"))
+    return out.unionByName(least.select([F.col(f"row.{p}").alias(c) for p, c in zip(plain, docs.columns, strict=True)]))

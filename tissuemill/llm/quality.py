@@ -4,23 +4,24 @@ Every text becomes a vector of statistics (character classes, word and line shap
 grown on binned statistics of labelled documents and flattened into arrays, which numpy walks for whole batches at once.
 
 The fit takes at most ``train_rows`` labelled rows, those with the smallest hash of their doc_id; everything else covers all
-rows. Cases: null and empty texts have statistics of zero and are scored like any other. Labels that are null or neither 0
+rows. Each text is measured once for its score, and those of the fit once more. Cases: null and empty texts have statistics of zero and are scored like any other. Labels that are null or neither 0
 nor 1 are passed over; a document with several labels counts once for each. Without labels every score is 0.5; with labels of
 one kind the score follows that kind. Rows without doc_id are scored, and are not held out. Repeated rows repeat.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, fresh_name, text_batches
+from .common import documents, fresh_name, slices, small_batches
 
 #: Bound on the labelled rows that the fit takes.
 TRAIN_ROWS = 20_000
@@ -126,16 +127,23 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bin
     return Trees(features, thresholds, values, base)
 
 
+def _measured(texts: list) -> np.ndarray:
+    return np.array([statistics(x or "") for x in texts], dtype="<f4").reshape(len(texts), len(FEATURES)).astype(float)
+
+
 def text_statistics(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns of ``keep`` and the statistics of the text as 32-bit floats in ``stats``."""
-    text_batches(df.sparkSession)
+    return _of_text(df, text_col, keep, F.lit(b"").alias("stats"), lambda x: pa.array([row.astype("<f4").tobytes() for row in x], pa.binary()))
+
+
+def _of_text(df: DataFrame, text_col: str, keep: list[str], column: Column, made: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """The columns of ``keep`` and one made from the statistics of each text; ``column`` gives its name and type."""
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(fresh_name(df, "whole_text")))
-    schema = source.select(*[F.col(f"`{c}`") for c in keep], F.lit(b"").alias("stats")).schema
+    schema = source.select(*[F.col(f"`{c}`") for c in keep], column).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stats = [np.array(statistics(t or ""), dtype="<f4").tobytes() for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(stats, pa.binary())], names=[*keep, "stats"])
+        for b in slices(batches, len(keep)):
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], made(_measured(b.column(len(keep)).to_pylist()))], names=schema.names)
 
     return source.mapInArrow(work, schema)
 
@@ -144,17 +152,39 @@ def _rows(stats: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(stats), dtype="<f4").reshape(len(stats), len(FEATURES)).astype(float)
 
 
-def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 17) -> Trees:
-    """Fit on the labelled rows (doc_id, label) with the smallest hashes, ``train_rows`` at most."""
-    rows = (
-        stats.join(labels.where("label in (0, 1) and doc_id is not null").select("doc_id", "label"), "doc_id")
-        .select(F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id", "label", "stats").orderBy("h", "doc_id", "label", "stats").limit(train_rows).collect()
-    )
-    if not rows:
-        return fit_trees(np.zeros((0, len(FEATURES))), np.zeros(0))
+def sampled(labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 17) -> DataFrame:
+    """h, key, label of usable labels (doc_id, label): all, or about ``train_rows`` of least hash.
+
+    The bound on the hash follows from the number of labels, so that of all partitions together no more than that is read on.
+    """
+    hashed = labels.where("label in (0, 1) and doc_id is not null").select(F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.col("doc_id").alias("key"), "label")
+    n = hashed.count()
+    if n <= train_rows:
+        return hashed
+    # five standard deviations of the number of hashes under the bound are left free
+    share = max(0.0, train_rows - 5 * math.sqrt(train_rows)) / n
+    return hashed.where(F.col("h") < int(-(2**63) + share * 2**64))
+
+
+def _fit(stats: DataFrame, chosen: DataFrame, train_rows: int) -> Trees:
+    found = stats.select(F.col("doc_id").alias("own"), "stats").join(F.broadcast(chosen), F.col("own") == F.col("key"))
+    with small_batches(stats.sparkSession):
+        rows = found.select("h", "key", "label", "stats").orderBy("h", "key", "label", "stats").limit(train_rows).collect()
     return fit_trees(_rows([bytes(r.stats) for r in rows]), np.array([r.label for r in rows], dtype=float))
 
 
+def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 17) -> Trees:
+    """Fit on the labelled rows (doc_id, label) of ``stats`` with the smallest hashes, ``train_rows`` at most."""
+    return _fit(stats, sampled(labels, train_rows, seed), train_rows)
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 17) -> Trees:
+    """``fit`` for documents (doc_id, text): only the texts that the fit takes are measured."""
+    chosen = sampled(labels, train_rows, seed)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("key").distinct()), F.col("doc_id") == F.col("key"), "left_semi")
+    return _fit(text_statistics(texts, "text", ["doc_id"]), chosen, train_rows)
+
+
 def apply_trees(stats: DataFrame, trees: Trees) -> DataFrame:
     """``stats`` with score in place of the statistics."""
     keep = [c for c in stats.columns if c != "stats"]
@@ -168,6 +198,11 @@ def apply_trees(stats: DataFrame, trees: Trees) -> DataFrame:
     return stats.mapInArrow(work, schema)
 
 
+def scored(docs: DataFrame, trees: Trees, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns of ``keep`` and score."""
+    return _of_text(docs, text_col, keep, F.lit(0.0).alias("score"), lambda x: pa.array(trees.score(x), pa.float64()))
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, label of the rows that may be learned from: crc32 of the doc_id's text mod 3 is not 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -176,24 +211,18 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every text of ``documents``: doc_id, held_out, score, predicted."""
-    work = Workspace(spark, "quality")
-    stats = work.write(text_statistics(documents(spark, sf_dir), "text", ["doc_id"]), "stats")
-    scored = apply_trees(stats, fit(stats, training_labels(spark, sf_dir)))
-    return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    docs = documents(spark, sf_dir)
+    out = scored(docs, fit_documents(docs, training_labels(spark, sf_dir)), ["doc_id"])
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores ``least`` or more; columns and texts stay as they are."""
-    work = Workspace(spark, "quality-filter")
-    stats = work.write(text_statistics(docs, "text", ["doc_id"]), "stats")
-    trees = fit(stats, training_labels(spark, sf_dir))
-    work.drop(stats)
-    text_batches(spark)
+    trees = fit_documents(docs, training_labels(spark, sf_dir))
     schema, at = docs.schema, docs.columns.index("text")
 
-    def work_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t or "") for t in b.column(at).to_pylist()], dtype="<f4").reshape(b.num_rows, len(FEATURES))
-            yield b.filter(pa.array(trees.score(x.astype(float)) >= least))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at):
+            yield b.filter(pa.array(trees.score(_measured(b.column(at).to_pylist())) >= least))
 
-    return docs.mapInArrow(work_on, schema)
+    return docs.mapInArrow(work, schema)

@@ -1,11 +1,12 @@
 """Secret scan with multipart credential linking.
 
 Base spans are found by three patterns (assign, access, hex) on their own. Weak candidates - identifiers, short or unnamed
-secrets, endpoints - are reported only where complementary parts co-occur: within a scope (a paragraph, cut by blank lines) an
-interval join pairs identifiers with secrets whose spans are at most ``REACH`` code points apart, and a secret with every
-endpoint of the scope, with or without an identifier. Paired parts are reported as ident, weak and endpoint. An unnamed secret
-inside an endpoint is a piece of that endpoint and pairs with identifiers only. Intervals are sorted once and swept; endpoints
-mark scopes, so that time grows with their number and the identifiers' pairs, not with all pairs.
+secrets, endpoints - are reported only where complementary parts co-occur within a scope: a paragraph, cut by blank lines.
+An identifier and a secret on different lines of the paragraph (a block of settings) are paired whatever lies between them; on
+one line (running text) where they are at most ``REACH`` code points apart. A secret is paired with every endpoint of the
+paragraph, with or without an identifier. Paired parts are reported as ident, weak and endpoint. An unnamed secret inside an
+endpoint is a piece of that endpoint and pairs with identifiers only. Each part looks its nearest complement up in sorted
+intervals and is marked; no pairs are formed, so that time grows with the number of parts and its logarithm.
 
 Cases: null and empty texts have no spans. Text is taken whole. Positions are code points, ends exclusive; spans are ordered
 by start, then kind as in ``KINDS``, then end. Rows repeat as they are; further columns are not read.
@@ -18,17 +19,17 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_name, text_batches
+from .common import documents, fresh_name, slices
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 BASE = KINDS[:3]
-#: Code points between an identifier and its secret.
+#: Code points between an identifier and its secret on one line.
 REACH = 200
 
 # The patterns of the base kinds.
@@ -57,34 +58,38 @@ def _entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
 
 
-def _in_reach(ends: list[int], starts: list[int], order: list[int], span: tuple[int, int]) -> list[int]:
-    """Numbers of the intervals at most REACH from ``span``; ``starts`` ascend, ``ends`` is the running maximum of ends."""
-    low = bisect_left(ends, span[0] - REACH)
-    high = bisect_right(starts, span[1] + REACH)
-    return order[low:high]
+class _Parts:
+    """The intervals of one kind in one scope, with their lines."""
+
+    def __init__(self, spans: list[tuple[int, int]], line: Callable[[int], int]):
+        self.spans = spans
+        self.starts, self.ends = sorted((line(s), s) for s, _ in spans), sorted((line(s), e) for s, e in spans)
+
+    def near(self, line: int, start: int, end: int) -> bool:
+        """Whether some interval is on another line, or beside this one on its own line at most ``REACH`` away."""
+        if self.starts[0][0] != line or self.starts[-1][0] != line:
+            return True
+        after = bisect_left(self.starts, (line, end))
+        before = bisect_right(self.ends, (line, start)) - 1
+        return (after < len(self.starts) and self.starts[after][1] - end <= REACH) or (before >= 0 and start - self.ends[before][1] <= REACH)
 
 
 def linked_spans(text: str) -> list[tuple[str, int, int]]:
     """Weak parts that complement one another within a scope."""
-    idents = [m.span(1) for m in _IDENT.finditer(text)]
+    idents = {m.span(1) for m in _IDENT.finditer(text)}
     if "AKIA" in text:
-        idents += [m.span() for m in ACCESS.finditer(text) if 8 <= m.end() - m.start()]
+        idents |= {m.span() for m in ACCESS.finditer(text) if 8 <= m.end() - m.start()}
     endpoints = [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text else []
     if not idents and not endpoints:
         return []
     named = {m.span(1) for m in _WEAK.finditer(text)}
     secrets = named | {m.span() for m in _BARE.finditer(text) if _entropy(m[0]) >= 3.5}
-    secrets -= set(idents)
+    secrets -= idents
     if not secrets:
         return []
     cuts = [m.start() for m in _BLANK.finditer(text)]
+    breaks = [m.start() for m in re.finditer("\\n", text)]
     scope = lambda s: bisect_right(cuts, s[0])
-    idents.sort()
-    running, most = [], 0
-    for s in idents:
-        most = max(most, s[1])
-        running.append(most)
-    starts = [s[0] for s in idents]
     # matches don't overlap, so that both ends ascend
     begins = [s[0] for s in endpoints]
     reached = {scope(s) for s in endpoints}
@@ -93,14 +98,22 @@ def linked_spans(text: str) -> list[tuple[str, int, int]]:
         at = bisect_right(begins, s[0]) - 1
         return at >= 0 and s[1] <= endpoints[at][1]
 
+    line = lambda at: bisect_right(breaks, at)
+    parts: dict[str, dict[int, _Parts]] = {}
+    for kind, spans in (("ident", idents), ("weak", secrets)):
+        own: dict[int, list] = {}
+        for s in spans:
+            own.setdefault(scope(s), []).append(s)
+        parts[kind] = {k: _Parts(v, line) for k, v in own.items()}
     out, linked = set(), set()
-    for secret in sorted(secrets):
-        own = scope(secret)
-        partners = [idents[i] for i in _in_reach(running, starts, range(len(idents)), secret) if scope(idents[i]) == own and idents[i][1] >= secret[0] - REACH and (idents[i][1] <= secret[0] or idents[i][0] >= secret[1])]
-        if partners or (own in reached and (secret in named or not within_endpoint(secret))):
-            out.add(("weak", *secret))
-            out.update(("ident", *p) for p in partners)
-            linked.add(own)
+    for kind, other in (("ident", "weak"), ("weak", "ident")):
+        for own, mine in parts[kind].items():
+            theirs = parts[other].get(own)
+            for s in mine.spans:
+                paired = theirs is not None and theirs.near(line(s[0]), *s)
+                if paired or (kind == "weak" and own in reached and (s in named or not within_endpoint(s))):
+                    out.add((kind, *s))
+                    linked.add(own)
     out.update(("endpoint", *s) for s in endpoints if scope(s) in linked)
     return list(out)
 
@@ -119,12 +132,11 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def secret_spans(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` and spans: array of (kind, start, end)."""
-    text_batches(docs.sparkSession)
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(fresh_name(docs, "whole_text")))
     schema = source.select(*[F.col(f"`{c}`") for c in keep], F.expr("cast(null as array<struct<kind: string, start: bigint, end: bigint>>)").alias("spans")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, len(keep)):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(spans, _SPAN)], names=[*keep, "spans"])
 
@@ -141,7 +153,6 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark`` (touching spans by one) and ``n_chars`` counted anew for changed rows."""
-    text_batches(docs.sparkSession)
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def clean(text: str | None) -> str | None:
@@ -156,7 +167,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return "".join([*out, text[done:]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             texts, counts = b.column(at).to_pylist(), b.column(chars).to_pylist()
             cleaned = [clean(t) for t in texts]
             counts = [n if c is t or c == t else len(c) for n, t, c in zip(counts, texts, cleaned, strict=True)]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import Workspace, documents, remembered, runs, text_batches
+from .common import Workspace, documents, remembered, slices
 from .sentencepiece_codec import tokenizer_path
 
 #: Ids in a segment and in a block, lanes of a block, steps between checkpoints.
@@ -223,7 +223,6 @@ _SEGMENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("
 def write_store(work: Workspace, docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise ``docs``, append ``end_id`` to each, and write the segments in ascending doc_id order; returns the store's table."""
     spark = docs.sparkSession
-    text_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
@@ -248,16 +247,14 @@ def write_store(work: Workspace, docs: DataFrame, tokenizer: str, end_id: int =
             held.clear(), doc_ids.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[f.name for f in _SEGMENT])
 
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z in runs(texts):
-                for key, ids in zip(keys[a:z], tokens.encode(texts[a:z]), strict=True):
-                    held.append(ids + end)
-                    doc_ids.append(key)
-                    size += len(ids) // len(end) + 1
-                    if size >= SEGMENT_IDS:
-                        yield close()
-                        size = 0
+        for b in slices(batches, 1):
+            for key, ids in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
+                held.append(ids + end)
+                doc_ids.append(key)
+                size += len(ids) // len(end) + 1
+                if size >= SEGMENT_IDS:
+                    yield close()
+                    size = 0
         if held:
             yield close()
 
@@ -277,10 +274,9 @@ def read_store(store: DataFrame) -> DataFrame:
     base = spark.createDataFrame(bases, "part int, base long")
     starts = sizes.withColumn("before", F.sum("n_ids").over(by_part) - F.col("n_ids")).join(F.broadcast(base), "part").select("part", "segment", (F.col("base") + F.col("before")).alias("start"))
     rows = store.join(starts, ["part", "segment"]).select("start", "doc_ids", "image")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2, 1):  # a segment at a time
             for start, packed, image in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, lengths = decode_segment(image)
                 n = len(lengths)
