@@ -127,6 +127,91 @@ def test_quality_edges(spark, odd, none):
     assert len(quality.statistics("a b")) == len(quality.FEATURES) == len(quality.statistics(""))
 
 
+def brute_statistics(text):
+    """The statistics one character and word at a time."""
+    data = text.encode()
+    if not data:
+        return [0.0] * len(quality.FEATURES)
+    groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", "\n\r", ".,;:", "!?", "#$%&*@^~+=", "|<>[]{}()\\/_-", "\"'`"]
+    share = [sum(chr(c) in g for c in data) / len(data) for g in groups]
+    share += [sum(c > 127 for c in data) / len(data), sum((c < 32 and c not in (10, 13)) or c == 127 for c in data) / len(data)]
+    words = re.findall(rb"[^ \t\n\r\x0b\x0c]+", data)
+    n = len(words)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n if n else 0.0
+    shape = [mean, max(lengths, default=0), math.sqrt(sum((x - mean) ** 2 for x in lengths) / n) if n else 0.0]
+    rest = [len(set(words)) / n, max(words.count(w) for w in set(words)) / n] if n else [0.0, 0.0]
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1) if n > 1 else 0.0
+    marked = sum(w[-1] < 128 and not chr(w[-1]).isalnum() and chr(w[-1]) not in ".,;:" for w in words) / n if n else 0.0
+    lines = data.split(b"\n")
+    letters = sum(chr(c).isalpha() and c < 128 or c > 127 for c in data)
+    return [math.log1p(len(text)), math.log1p(n), *share, *shape, *rest, len(set(lines)) / len(lines), math.log1p(len(data) / len(lines)), len(zlib.compress(data, 1)) / len(data), marked, again, letters / max(1, n)]
+
+
+def test_quality_statistics_match_brute_force():
+    texts = random_texts(300, ["a", "Bc", " ", " ", "\n", "7", "é", "!", ",", "#", "\x01", "\t", "'", "(", "word", "word "], 60, 4) + ["", " ", "\n", "x", "same same same\nsame same same", "A" * 70_000, "日本 " * 9000]
+    for text in texts:
+        assert quality.statistics(text) == pytest.approx(brute_statistics(text), abs=1e-9)
+
+
+def brute_trees(x, y, trees, depth, bins, rate, l2, least):
+    """Boosting row by row and split by split; the scores of the rows."""
+    share = (sum(y) + 0.5) / (len(y) + 1)
+    total = [math.log(share / (1 - share))] * len(y)
+    edges = [sorted(set(np.quantile([r[j] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(len(x[0]))]
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        grad, hess = [a - b for a, b in zip(p, y, strict=True)], [max(a * (1 - a), 1e-9) for a in p]
+
+        def grow(rows, level, grad=grad, hess=hess):
+            g, h = sum(grad[i] for i in rows), sum(hess[i] for i in rows)
+            if level == depth:
+                for i in rows:
+                    total[i] -= rate * g / (h + l2)
+                return
+            best = (1e-6, None, None)
+            for j, own in enumerate(edges):
+                for e in own:
+                    left = [i for i in rows if x[i][j] <= e]
+                    gl, hl = sum(grad[i] for i in left), sum(hess[i] for i in left)
+                    if hl < least or h - hl < least:
+                        continue
+                    gain = gl**2 / (hl + l2) + (g - gl) ** 2 / (h - hl + l2) - g**2 / (h + l2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, j, e)
+            if best[1] is None:
+                grow(rows, level + 1)
+            else:
+                grow([i for i in rows if x[i][best[1]] <= best[2]], level + 1)
+                grow([i for i in rows if x[i][best[1]] > best[2]], level + 1)
+
+        grow(list(range(len(y))), 0)
+    return [1 / (1 + math.exp(-t)) for t in total]
+
+
+def test_trees_match_brute_force():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(120, 4)), 1)  # ties
+    x = np.concatenate([x, x[:30]])  # repeated rows
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=150) * 0.3) > 0).astype(float)
+    fitted = quality.fit_trees(x, y, trees=5, depth=3, bins=16)
+    assert fitted.score(x) == pytest.approx(brute_trees(x.tolist(), y.tolist(), 5, 3, 16, 0.15, 1.0, 1.0), abs=1e-6)
+    for row, score in zip(x.tolist(), fitted.score(x).tolist(), strict=True):  # the flattened trees, walked plainly
+        total = fitted.base
+        for f, t, leaf in zip(fitted.feature, fitted.threshold, fitted.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += leaf[node - len(f)]
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_quality_fit_takes_a_bounded_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, label int").repartition(16)
+    n = quality.sampled(labels, 1000).count()
+    assert 600 < n <= 1000 and quality.sampled(labels, 5000).count() == 5000
+
+
 # 4
 
 
@@ -227,6 +312,18 @@ def test_near_duplicates_edges(odd, none):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [2, 3, 4, 5, 7, 8, 9] and len(kept) == 8
 
 
+def test_near_duplicates_of_equal_ids_with_different_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, one, "a"), (1, other, "b"), (2, one + " x", "c"), (3, other + " y", "d"), (3, other + " y", "e"), (4, "alone", "f"), (4, "alone", "g"), (5, None, "h"), (5, "", "i"), (6, one + " z", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, own_set string")
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in near_dups.near_duplicates(frame, 3, 85).collect())
+    assert got == [(1, 1, 58), (1, 1, 58), (2, 1, 59), (3, 1, 59), (3, 1, 59), (4, 4, 1), (4, 4, 1), (5, 5, 0), (5, 5, 0), (6, 1, 59)]
+    kept = near_dups.keep_one(frame, 3, 85)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, one, "a"), (1, other, "b"), (4, "alone", "f"), (5, None, "h")], key=repr)
+
+
 def test_registers_keep_bucket_minima():
     rng = np.random.default_rng(1)
     s = np.unique(rng.integers(1 << 63, size=5000, dtype=np.uint64) * np.uint64(2))
@@ -264,6 +361,15 @@ def test_mixing_salted_join(spark, monkeypatch):
     assert sorted(map(tuple, mixing.mix(frame).collect()), key=repr) == want
 
 
+def test_mixing_rows_without_id_draw_alone(spark):
+    frame = spark.createDataFrame([(None, f"t{i}", "s") for i in range(1000)] + [(i, "x", "t") for i in range(1000)], "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("s", 1.0), ("t", 1.0), ("s", 2.0), ("u", None)], "source string, weight double")
+    counts = [r["count"] for r in mixing.mix(frame, weights=weights).where("doc_id is null").groupBy("text").count().collect()]
+    assert len(set(counts)) > 2 and abs(sum(counts) - 1500) < 200
+    with pytest.raises(ValueError):
+        mixing.mix(frame, weights=spark.createDataFrame([("s", -1.0)], "source string, weight double"))
+
+
 # 7
 
 
@@ -362,6 +468,47 @@ def test_weak_parts_need_their_complement():
     assert len(secrets.scan(many)) == 4000
 
 
+def brute_links(text):
+    """Every pair of parts, by the definition of a scope."""
+    span = lambda m, g=0: m.span(g)
+    idents = {span(m, 1) for m in secrets._IDENT.finditer(text)} | {span(m) for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 8}
+    named = {span(m, 1) for m in secrets._WEAK.finditer(text)}
+    weak = (named | {span(m) for m in secrets._BARE.finditer(text) if secrets._entropy(m[0]) >= 3.5}) - idents
+    ends = {span(m) for m in secrets._ENDPOINT.finditer(text)}
+    scope = lambda s: len([1 for m in secrets._BLANK.finditer(text) if m.start() <= s[0]])
+    line = lambda s: text.count("\n", 0, s[0])
+    apart = lambda a, b: b[0] - a[1] if a[1] <= b[0] else a[0] - b[1] if b[1] <= a[0] else 10**9
+    out, linked = set(), set()
+    for w in weak:
+        for i in idents:
+            if scope(i) == scope(w) and (line(i) != line(w) or apart(i, w) <= secrets.REACH):
+                out |= {("ident", *i), ("weak", *w)}
+                linked.add(scope(w))
+        if any(scope(e) == scope(w) for e in ends) and (w in named or not any(e[0] <= w[0] and w[1] <= e[1] for e in ends)):
+            out.add(("weak", *w))
+            linked.add(scope(w))
+    return out | {("endpoint", *e) for e in ends if scope(e) in linked}
+
+
+def test_linked_parts_match_brute_force():
+    parts = ["user=abc", 'client_id: "x-1"', "pass=hunter22", "AKIA12345678", "https://a.example.org/q?token=hunter22", "zX81kQpWmN4rT7vYb2LsD9eF", " ", " ", "\n", "\n\n", " word " * 50]
+    rng = random.Random(9)
+    for _ in range(600):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(2, 14)))
+        assert set(secrets.linked_spans(text)) == brute_links(text)
+
+
+def test_secrets_of_a_block_of_settings_and_of_long_texts():
+    import time
+
+    block = "AKIA12345678\n" + "setting = 5\n" * 30 + "client_secret = hunter22"
+    assert [s[0] for s in secrets.scan(block)] == ["ident", "weak"]
+    long = "user=abc pass=secret1 https://a.example.org/c " * 22_000
+    start = time.perf_counter()
+    assert len(secrets.scan(long)) == 66_000
+    assert time.perf_counter() - start < 10
+
+
 def test_secrets_pair_with_endpoints_of_their_scope():
     near = "https://db.example.org/x\npassword: hunter22"
     assert [s[0] for s in secrets.scan(near)] == ["endpoint", "weak"]

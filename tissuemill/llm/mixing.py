@@ -8,9 +8,11 @@ Means over ``PIECE`` are drawn as sums of independent pieces (a sum of Poisson n
 exact for any mean. The rates (a row per source) are broadcast up to ``BROADCAST_SOURCES`` rows; beyond, documents and rates
 are joined on a salted key, which splits a hot source.
 
-Cases: null is a source of its own. A null doc_id draws as the text "null". Rows with equal doc_id draw equal counts. Null,
-empty and long texts are carried as they are. Sources without a target weight have weight 0. Empty tables stay empty. Further
-columns are kept; those named like a result column give way to it.
+Cases: null is a source of its own. Rows without doc_id draw by a hash of their columns, which must not be maps then. Rows
+with equal doc_id, and equal rows without, draw equal counts. Null, empty and long texts are carried as they are. Sources
+without a target weight, or with a null one, have weight 0; several weights of a source add up; negative and infinite ones
+raise ValueError. The share of a source that has weight but no rows falls to the others in proportion. Empty tables stay
+empty. Further columns are kept; those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -40,8 +42,11 @@ def rates(docs: DataFrame, by: str = "source", weights: DataFrame | None = None,
     """
     sizes = docs.groupBy(F.col(f"`{by}`").alias("key")).agg(F.count("*").alias("n"))
     if weights is not None:
+        given = weights.groupBy(F.col(f"`{by}`").alias("wkey")).agg(F.sum(F.col("weight").cast("double")).alias("weight"), F.min(F.col("weight").cast("double")).alias("least"))
+        if given.where("least < 0 or isnan(weight) or weight = double('infinity')").limit(1).count():
+            raise ValueError("weights must be finite and not negative")
         # null-safe: null is a source like another
-        sizes = sizes.join(weights.select(F.col(f"`{by}`").alias("wkey"), F.col("weight").cast("double")), F.col("key").eqNullSafe(F.col("wkey")), "left").select("key", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        sizes = sizes.join(given.drop("least"), F.col("key").eqNullSafe(F.col("wkey")), "left").select("key", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     else:
         sizes = sizes.select("key", "n", F.pow(F.col("n").cast("double"), F.lit(power)).alias("weight"))
     sizes = Workspace(docs.sparkSession, "mixing").write(sizes, "sizes")
@@ -68,7 +73,9 @@ def mix(docs: DataFrame, by: str = "source", id_col: str = "doc_id", seed: int =
         salted = rate.withColumn(salt_col, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         own = docs.withColumn(own_col, F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(SALTS)).cast("int"))
         drawn = own.join(salted, F.col(f"`{by}`").eqNullSafe(F.col(f"{rate_col}.key")) & (F.col(own_col) == F.col(salt_col)))
-    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    # rows without an id draw each by its own content, so that they don't stand or fall together
+    content = F.concat(F.lit("null:"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), content)
     count = F.aggregate(
         F.transform(F.sequence(F.lit(1), F.col(f"{rate_col}.pieces")), lambda j: _uniform(str(seed), name, j.cast("string"))),
         F.lit(0),
