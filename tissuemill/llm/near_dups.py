@@ -22,7 +22,7 @@ results. Further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,21 +176,26 @@ def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
-def _sets(work: Workspace, nodes: DataFrame, classes: DataFrame, text_rows: DataFrame, words: int, repeats: bool) -> DataFrame:
-    """(node, shingles) of ``nodes``: the sorted hashes of each set, from a text of the class's first document, written once."""
+def _sets(work: Workspace, nodes: DataFrame, classes: DataFrame, text_rows: DataFrame, words: int) -> DataFrame:
+    """``nodes`` (node and other longs) with shingles: the sorted hashes of each set, from a text of the class's first document, written once."""
+    own = [c for c in nodes.columns if c != "node"]
     wanted = nodes.join(classes.select("node", "set_id", "first"), "node")
-    rows = text_rows.join(wanted, "first").select("node", "set_id", "text")
+    rows = text_rows.join(wanted, "first").select("node", *own, "set_id", "text")
+    n = 1 + len(own)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in slices(batches, 2):
-            found = [shingler(text) for text in b.column(2).to_pylist()]
-            # rows that share the document's id may hold another text
-            own = pa.array([set_id(s) == name for s, name in zip(found, b.column(1).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(own), pa.array([s.tobytes() for s in found], pa.binary()).filter(own)], names=["node", "shingles"])
+        shingler, seen = Shingler(words), set()
+        for b in slices(batches, n + 1):
+            found, keep = [shingler(text) for text in b.column(n + 1).to_pylist()], []
+            for s, node, name in zip(found, b.column(0).to_pylist(), b.column(n).to_pylist(), strict=True):
+                # rows that share the document's id may hold another text, or the same once more
+                keep.append(node not in seen and set_id(s) == name)
+                if keep[-1]:
+                    seen.add(node)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[c.filter(keep) for c in b.columns[:n]], pa.array([s.tobytes() for s in found], pa.binary()).filter(keep)], names=["node", *own, "shingles"])
 
-    sets = work.write(rows.mapInArrow(shingle, "node long, shingles binary"), "sets")
-    return work.write(sets.dropDuplicates(["node"]), "sets-once") if repeats else sets
+    return work.write(rows.mapInArrow(shingle, f"node long, {''.join(f'{c} long, ' for c in own)}shingles binary"), "sets")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -219,79 +224,92 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(work: Workspace, links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of ``links`` (a, b): least labels of neighbours, then of labels, until nothing changes."""
-    edges = work.write(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = work.write(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    """node, component (the smallest node reachable) for every node of ``links`` (a, b).
+
+    Each round a node takes the least label of its neighbours and itself, and then that label's own label, which halves the
+    way to the smallest node each time; until nothing changes.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = work.write(both.union(both.select("a", F.col("a").alias("b"))).distinct(), "edges")
+    labels = work.write(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component", F.lit(True).alias("changed")), "labels")
     while True:
-        heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(heard.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        # a label's own label: halves the way to the smallest node each time
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = work.write(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        changed = new.where("old <> component").limit(1).count()
-        work.drop(labels)
-        if not changed:
+        heard = edges.join(labels.select(F.col("node").alias("b"), "component"), "b")
+        new = heard.groupBy("a").agg(F.min("component").alias("m"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"))
+        jump = new.join(labels.select(F.col("node").alias("m"), F.col("component").alias("further")), "m")
+        labels, before = work.write(jump.select(F.col("a").alias("node"), F.col("further").alias("component"), (F.col("further") != F.col("old")).alias("changed")), "labels"), labels
+        work.drop(before)
+        if not labels.where("changed").limit(1).count():
             work.drop(edges)
-            return new.select("node", "component")
-        kept = new.select("node", "component")
-        kept._tissuemill_path = new._tissuemill_path
-        labels = kept
+            return labels.select("node", "component")
+
+
+#: Parts into which a join deals a hot key.
+SALTS = 4
+
+
+def _salted(rows: DataFrame, by: str, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined on ``key`` with ``keyed``, which has a row for each key; a key's rows are dealt into ``SALTS`` parts by a hash of ``by``."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).alias("salt")
+    return rows.select("*", salt).join(keyed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), [key, "salt"]).drop("salt")
 
 
 def grouped(work: Workspace, docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id, component and component_id of every row of ``docs``, written.
+    """doc_id, n_shingles, set_id, component and component_id of every row of ``docs``.
 
     ``component`` is a number of the group, null for rows without a set or doc_id; ``component_id`` is its smallest doc_id.
     """
     all_rows = work.write(signatures(docs, words, id_col, text_col), "signatures")
     usable = all_rows.where("set_id is not null and doc_id is not null")
-    named = usable.groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    firsts = named.join(usable.select("set_id", F.col("doc_id").alias("first"), "n_shingles", "registers"), ["set_id", "first"]).dropDuplicates(["set_id"])
-    # a class of equal sets has a number of its own: two texts may share a doc_id
-    classes = work.write(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
-    repeats = bool(usable.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    named = usable.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    # a class of equal sets has a number of its own, as two texts may share a doc_id; numbers ascend with the first doc_id
+    classes = work.write(named.repartitionByRange("first").sortWithinPartitions("first", "set_id").withColumn("node", F.monotonically_increasing_id()), "classes")
     text_rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("first"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    links = lambda pairs, sets=None: _links(work, pairs, classes, sets or (lambda nodes: _sets(work, nodes, classes, text_rows, words, repeats)), percent)
 
     bands = work.write(_bands(classes), "bands")
-    # tables of one row a key are written, so that a join splits the other side's hot keys
-    shared = work.write(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = work.write(bands.join(shared, "band"), "members")
-    work.drop(bands, shared)
+    members = _salted(bands, "node", bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
     # central members agree with many others in many bands; a group's common source is the most central of all
     weight = members.groupBy("node").agg(F.sum(F.log2("n")).alias("weight"))
     weighed = work.write(members.join(weight, "node").select("band", "node", "weight"), "weighed")
-    work.drop(members)
-    pivot = work.write(weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("p")).select("band", (-F.col("p.m")).alias("x")), "pivots")
-    stars = weighed.join(pivot, "band").where("node <> x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    work.drop(bands)
+    pivot = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("p")).select("band", (-F.col("p.m")).alias("x"))
+    stars = _salted(weighed, "node", pivot, "band").where("node <> x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     tested = work.write(stars, "stars")
-    work.drop(pivot)
-    first = links(tested)
-    labels = components(work, first)
+    near = work.write(_near(tested, classes, percent / 100), "near")
+    sets = _sets(work, near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(), classes, text_rows, words)
+    links = work.write(_confirm(near, sets, percent), "links")
+    work.drop(sets, near)
+    labels = components(work, links)
 
     # what is left: members of bands with several components
     placed = work.write(weighed.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
     work.drop(weighed)
-    nodes = work.write(_mixed(work, placed, "band").select("node", "component").distinct(), "mixed-nodes")
+    sets = _sets(work, _mixed(placed, "band").select("node", "component").distinct(), classes, text_rows, words)
+    tokens = _rarest(work, sets, percent)
     work.drop(placed)
-    sets = _sets(work, nodes.select("node"), classes, text_rows, words, repeats)
-    tokens = _rarest(work, sets.join(nodes, "node").select("node", "component", "shingles"), percent)
-    rows = _mixed(work, tokens, "token")
+    rows = _mixed(tokens, "token")
     minor = rows.where("component <> main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("place").alias("px"), F.col("n").alias("nx"))
     # behind their first common shingle both sets must have room for the intersection that a link needs
     room = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place")) * (100 + percent) >= percent * (F.col("nx") + F.col("n"))
     pairs = minor.join(rows, "token").where("cx <> component and (component = main or x < node)").where(room)
     rest = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    labels = components(work, first.union(links(work.write(rest, "rest"), lambda _: sets)))
-    least = work.write(labels.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    known = work.write(
-        classes.select("set_id", "node", "first").join(labels.join(least, "component"), "node", "left")
-        .select("set_id", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "first").alias("component_id")),
-        "known",
+    further = work.write(_confirm(_near(rest, classes, percent / 100), sets.select("node", "shingles"), percent), "further")
+    work.drop(sets, tokens, tested)
+    if further.limit(1).count():
+        # links between components, which are few and small beside the links within
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        end = lambda c: F.coalesce(f"c{c}", c).alias(c)
+        met = components(work, further.join(of("a"), "a", "left").join(of("b"), "b", "left").select(end("a"), end("b")))
+        met = met.select(F.col("node").alias("old"), F.col("component").alias("joined"))
+        every = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("old"))
+        labels = every.join(met, "old", "left").select("node", F.coalesce("joined", "old").alias("component"))
+    heads = classes.select(F.col("node").alias("component"), F.col("first").alias("component_id"))
+    known = (
+        classes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+        .join(heads, "component").select("set_id", "component", "component_id")
     )
     columns = ["doc_id", "n_shingles", "set_id"]
     alone = all_rows.where("set_id is null or doc_id is null").select(*columns, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
-    return work.write(usable.select(columns).join(known, "set_id").select(*columns, "component", "component_id").union(alone), "grouped")
+    return usable.select(columns).join(known, "set_id").select(*columns, "component", "component_id").union(alone)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,21 +318,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _mixed(work: Workspace, placed: DataFrame, key: str) -> DataFrame:
-    """The members (key, node, component) of groups with several components, with the group's commonest one in ``main``."""
+def _mixed(placed: DataFrame, key: str) -> DataFrame:
+    """The members (key, node, component, ...) of groups with several components, with the group's commonest one in ``main``."""
     tally = placed.groupBy(key, "component").agg(F.count("*").alias("n"))
     mixed = tally.groupBy(key).agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    return placed.join(work.write(mixed.select(key, F.col("most.component").alias("main")), "mixed"), key)
+    return _salted(placed, "node", mixed.select(key, F.col("most.component").alias("main")), key)
 
 
 def _rarest(work: Workspace, held: DataFrame, percent: int) -> DataFrame:
-    """(token, node, component, place in the order, n) from (node, component, shingles): of each node's set of n the n - ceil(n * percent / 100) + 1 shingles that are rarest in ``held``.
+    """(token, node, component, place in the order, n) from ``held`` (node, component, shingles): of each node's set of n the n - ceil(n * percent / 100) + 1 shingles that are rarest in ``held``.
 
     Linked sets share at least ceil(n * percent / 100) shingles of either, so one of the rarest, in any order common to all.
     Counts are kept in ``CELLS`` cells, which makes the order coarser and loses no pair; a shingle counted once has no partner.
     """
     spark = held.sparkSession
-    held = work.write(held, "held")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.uint32)
@@ -356,17 +373,7 @@ def _rarest(work: Workspace, held: DataFrame, percent: int) -> DataFrame:
             columns = [np.concatenate(tokens).view(np.int64), np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), np.concatenate(places), np.repeat(lengths, sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "node", "component", "place", "n"])
 
-    tokens = work.write(held.mapInArrow(pick, "token long, node long, component long, place long, n long"), "tokens")
-    work.drop(held)
-    return tokens
-
-
-def _links(work: Workspace, pairs: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    near = work.write(_near(pairs, classes, percent / 100), "near")
-    sets = sets_of(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct())
-    out = work.write(_confirm(near, sets, percent).distinct(), "links")
-    work.drop(sets)
-    return out
+    return work.write(held.mapInArrow(pick, "token long, node long, component long, place long, n long"), "tokens")
 
 
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
