@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .fingerprints import op10_fingerprints
-from .licenses import op8_licenses
+from .licenses import OP8_SQL, op8_licenses
 from .mixing import OP6_SQL, op6_mixing
 from .near_dups import OP5_SQL, op5_near_dups
 from .quality import op3_quality
@@ -28,7 +28,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op2_topk_search": OP2_SQL, "op5_near_dups": OP5_SQL, "op6_mixing": OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+SQL: dict[str, str] = {"op2_topk_search": OP2_SQL, "op5_near_dups": OP5_SQL, "op6_mixing": OP6_SQL, "op8_licenses": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 def queries() -> dict:
