@@ -1,13 +1,15 @@
 """URL filter by association rules.
 
-Known verdicts (here: of listed rules of host and path) label URLs. Spark's FP-growth mines the labelled URLs' token sets for
-combinations that imply a verdict; rules below the least confidence (taken with both verdicts weighing alike) or support go,
-and so do rules that a shorter one with the same verdict and no less confidence covers. A URL that no listed rule fits is judged by the mined rules it holds, found by
-an inverted index from each rule's rarest token: the most confident rule decides, blocking on a tie. Without a rule it is
-allowed.
+Known verdicts label URLs: those of listed rules of host and path and, as evidence for the other side, allow for URLs on a
+listed host whose path no rule fits. Spark's FP-growth mines the labelled URLs' token sets for combinations that imply a
+verdict; rules below the least confidence (taken with both verdicts weighing alike) or support go, and so do rules that a
+shorter one with the same verdict and no less confidence covers. A URL that no listed rule fits is judged by the mined rules it
+holds, found by an inverted index from each rule's rarest token: the most confident rule decides, blocking on a tie. Without a
+rule it is allowed.
 
-Every token of every labelled URL takes part in the counts; FP-growth itself drops those below the support. The frequent sets go
-to the driver. Their number grows with the subsets of tokens that labelled URLs share, not with the table.
+Every token of every labelled URL takes part in the counts; FP-growth itself drops those below the support, which is a share of
+the labelled URLs and ``LEAST`` URLs at least. Rules are pruned by confidence in Spark; those left go to the driver. Frequent
+sets grow with the subsets of tokens that labelled URLs share, not with the table.
 
 Cases: null URLs and URLs without ``://`` have an empty host and path, fit no rule and are allowed. An empty table, or one
 without labelled URLs, mines no rule. Repeated URLs count as often as they stand. Of the table only the named columns are read.
@@ -27,6 +29,8 @@ from .common import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUPPORT, CONFIDENCE = 0.002, 0.9
+#: Labelled URLs that a mined rule rests on at least.
+LEAST = 20
 
 # The listed rules, (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -52,6 +56,14 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
     return out
 
 
+def on_listed_host(host: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """Whether the host is one of the listed rules' hosts or a subdomain of one."""
+    out = F.lit(False)
+    for name in sorted({r[1] for r in rules}):
+        out = out | (host == name) | host.endswith(f".{name}")
+    return out
+
+
 def tokens_of(host: str, path: str, url: str | None) -> list[str]:
     """Distinct tokens of a URL: labels of the host, its domain, pieces of the path with their kind, and names in the query."""
     labels = [x for x in host.split(".") if x]
@@ -81,20 +93,19 @@ def mine(tokens: DataFrame, support: float = SUPPORT, confidence: float = CONFID
     """Rules (tokens, verdict, confidence) from rows (tokens, verdict); pruned, rarest token first."""
     items = tokens.where("tokens is not null").select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(items)
-    sets = {frozenset(r["items"]): r.freq for r in model.freqItemsets.collect()}
-    rank = {t: i for i, t in enumerate(sorted((t for own in sets if len(own) == 1 for t in own), key=lambda t: (-sets[frozenset([t])], t)))}
-    of = {r["verdict"]: r["n"] for r in tokens.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
-    rows = sum(of.values())
-    found = []
-    for own, n in sets.items():
-        said = [x for x in own if x.startswith("verdict=")]
-        if len(said) != 1 or len(own) == 1:
-            continue
-        # confidence with both verdicts weighing alike, whatever their shares
-        verdict = said[0].partition("=")[2]
-        for_it, against = n / of[verdict], (sets[own - {said[0]}] - n) / max(1, rows - of[verdict])
-        if (sure := for_it / (for_it + against)) >= confidence:
-            found.append((own - {said[0]}, verdict, sure))
+    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
+    said = F.filter("items", lambda x: x.startswith("verdict="))
+    own = sets.where(F.size(said) == 1).where(F.size("items") > 1).select(F.array_except("items", said).alias("own"), F.substring_index(F.get(said, F.lit(0)), "=", -1).alias("verdict"), "freq")
+    plain = sets.where(F.size(said) == 0).select(F.col("items").alias("own"), F.col("freq").alias("every"))
+    of = tokens.groupBy("verdict").agg(F.count("*").alias("said"))
+    rows = tokens.count()
+    # confidence with both verdicts weighing alike, whatever their shares
+    shares = own.join(plain, "own").join(F.broadcast(of), "verdict").select("own", "verdict", (F.col("freq") / F.col("said")).alias("share"), ((F.col("every") - F.col("freq")) / F.greatest(F.lit(1), F.lit(rows) - F.col("said"))).alias("against"))
+    sure = shares.select("own", "verdict", (F.col("share") / (F.col("share") + F.col("against"))).alias("sure")).where(F.col("sure") >= confidence)
+    found = [(frozenset(r.own), r.verdict, r.sure) for r in sure.collect()]
+    held = sorted({t for r in found for t in r[0]})
+    singles = plain.where(F.size("own") == 1).select(F.get("own", F.lit(0)).alias("t"), "every").where(F.col("t").isin(held)).collect()
+    rank = {r.t: i for i, r in enumerate(sorted(singles, key=lambda r: (-r.every, r.t)))}
     found.sort(key=lambda r: (len(r[0]), sorted(r[0]), r[1]))
     kept: list[tuple[frozenset, str, float]] = []
     by_token: dict[str, list[int]] = {}
@@ -107,6 +118,12 @@ def mine(tokens: DataFrame, support: float = SUPPORT, confidence: float = CONFID
     return [(tuple(sorted(own, key=lambda t: -rank[t])), verdict, sure) for own, verdict, sure in kept]
 
 
+def labelled(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """tokens, verdict of the rows (host, listed, tokens) from which rules are mined."""
+    verdict = F.coalesce(F.col("listed.verdict"), F.when(on_listed_host(F.col("host"), rules), F.lit("allow")))
+    return rows.select("tokens", verdict.alias("verdict")).where("verdict is not null")
+
+
 def judge(tokens: DataFrame, rules: list[tuple[tuple[str, ...], str, float]]) -> DataFrame:
     """``tokens`` with mined: the verdict of the most confident mined rule, or allow."""
     index: dict[str, list[tuple[frozenset, str, float]]] = {}
@@ -132,13 +149,15 @@ def judge(tokens: DataFrame, rules: list[tuple[tuple[str, ...], str, float]]) ->
     return tokens.mapInArrow(work, schema)
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages``."""
     work = Workspace(pages.sparkSession, "urls")
     url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = work.write(url_tokens(rows.withColumn("listed", listed(F.col("host"), F.col("path"), rules))), "tokens")
-    mined = mine(rows.where("listed is not null").select("tokens", F.col("listed.verdict").alias("verdict")), support, confidence)
+    known = labelled(rows, rules)
+    n = known.count()
+    mined = mine(known, min(1.0, max(support, least / n)), confidence) if n else []
     judged = judge(rows.select("page_id", "host", "path", "listed", "tokens"), mined)
     return judged.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.coalesce("listed.verdict", "mined").alias("verdict"))
 
