@@ -232,6 +232,33 @@ def test_token_store_round_trip(spark, odd, docs, none):
     assert token_store.read_store(token_store.write_store(Workspace(spark, "t"), none, path)).count() == 0
 
 
+def test_token_store_of_several_segments(spark):
+    path = token_store.tokenizer_path("word_bpe_49k.json")
+    texts = random_texts(60, ["ab", "cd ", " ", "x1"], 40, 3) + ["word " * 500, "", None]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(None, x) for x in texts], "doc_id long, text string").repartition(3)
+    store = token_store.write_store(Workspace(spark, "t"), frame, path, segment_ids=50)
+    assert store.groupBy("part").count().agg(F.max("count")).first()[0] > 3
+    rows = sorted(token_store.read_store(store).collect(), key=lambda r: r.start)
+    tokens = token_store.WordTokenizer(path)
+    want = [(None, x) for x in sorted(x or "" for x in texts)] + [(i, x or "") for i, x in enumerate(texts)]
+    assert [(r.doc_id, bytes(r.ids)) for r in rows] == [(i, np.array([*tokens.library.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, x in want]
+    assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+
+
+def test_other_tokenizer_files_go_to_the_library():
+    import json
+
+    from tokenizers import Tokenizer
+
+    tokens = token_store.WordTokenizer(token_store.tokenizer_path("word_bpe_49k.json"))
+    assert tokens.known
+    file = json.loads(tokens.library.to_str())
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        other = Tokenizer.from_str(json.dumps(file | change))
+        tokens.library, tokens.known = other, token_store._is_known(json.loads(other.to_str()))
+        assert not tokens.known and tokens.encode(["Ab c"]) == tokens._bytes(["Ab c"])
+
+
 def test_rans_images():
     rng = np.random.default_rng(5)
     for n, top in ((1, 1), (2, 3), (31, 49_000), (33, 2), (5000, 10), (140_000, 49_000), (200_000, 1)):
@@ -410,9 +437,85 @@ def test_mining_takes_all_tokens(spark):
     assert {own[0]: v for own, v, _ in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))} == {own[0]: v for own, v in rows}
 
 
+def test_url_filter_of_pages(spark):
+    rows = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()}
+    found, labels = {}, []
+    for key, url in rows.items():
+        rest = (url or "").partition("://")[2]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest, re.S).groups()
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        found[key] = (host, path, best and best[1], best and best[2])
+        if best or any(host == h or host.endswith("." + h) for _, h, _ in url_filter.RULES):
+            labels.append((set(url_filter.tokens_of(host, path, url)), best[2] if best else "allow"))
+    n = {v: sum(x[1] == v for x in labels) for v in ("block", "allow")}
+    out = url_filter.op7_url_filter(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.page_id for r in out) == sorted(rows)
+    # every set of tokens that 20 labelled URLs hold with one verdict, by plain counting
+    counts = defaultdict(lambda: defaultdict(int))
+    for own, verdict in labels:
+        own = sorted(own)
+        for mask in range(1, 1 << len(own)):
+            counts[frozenset(t for i, t in enumerate(own) if mask >> i & 1)][verdict] += 1
+    least = max(20, math.ceil(0.002 * len(labels)))
+    rules = []
+    for own, c in counts.items():
+        for v, w in (("block", "allow"), ("allow", "block")):
+            share, against = c[v] / n[v], c[w] / max(1, n[w])
+            if c[v] >= least and share / (share + against) >= 0.9:
+                rules.append((own, v, share / (share + against)))
+    for r in out:
+        assert (r.host, r.path, r.rule) == found[r.page_id][:3]
+        want = found[r.page_id][3]
+        if want is None:
+            have = set(url_filter.tokens_of(r.host, r.path, rows[r.page_id]))
+            want = "block" if max(((s, v == "block") for own, v, s in rules if own <= have), default=(0, False))[1] else "allow"
+        assert r.verdict == want
+    unlisted = [r for r in out if r.rule is None]
+    assert sum(r.verdict == "block" for r in unlisted) < 0.2 * len(unlisted)
+
+
 # 8
 
 
+def test_license_spans_count_places_once(spark):
+    rng, clause = random.Random(7), licenses.TEMPLATES["bsd"][0].split()
+    texts = ["the software " * 12, "the software " * 40_000]
+    for drop in range(0, 20, 2):
+        own = list(clause)
+        for _ in range(drop):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], [own[at], "new"], ["x"]])
+        texts.append("before " * rng.randint(0, 30) + " ".join(own) + " after" * rng.randint(0, 30))
+    texts.append(" ".join(clause[:10] + ["gap"] * 60 + clause[10:]))
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(frame).collect()}
+    assert got[0].labels == got[1].labels == "" and got[0].score == got[1].score == 0
+    assert got[2].labels == "bsd" and got[2].score == 1
+    grams = list(zip(clause, clause[1:], strict=False))
+    for i, text in enumerate(texts):
+        words = text.split()
+        hits = [(at - p, at, p) for at, pair in enumerate(zip(words, words[1:], strict=False)) for p, g in enumerate(grams) if g == pair]
+        best = 0.0
+        runs = []
+        for d, at, p in sorted(hits):
+            if not runs or d - runs[-1][-1][0] > licenses.DRIFT:
+                runs.append([])
+            runs[-1].append((d, at, p))
+        for run in runs:
+            parts = []
+            for _, at, p in sorted(run, key=lambda h: h[1:]):
+                if not parts or at - parts[-1][-1][0] > len(grams):
+                    parts.append([])
+                parts[-1].append((at, p))
+            for part in parts:
+                share = len({p for _, p in part}) / len(grams)
+                if share >= licenses.COVERAGE and part[-1][0] - part[0][0] < 2 * len(grams) + licenses.DRIFT:
+                    best = max(best, share)
+        assert (got[i].labels == "bsd", got[i].score) == (best > 0, pytest.approx(best))
+
+
 def test_license_places_match_brute_force(spark, docs, odd, none):
     texts = ["MIT license, mit-LICENSE; Mit  licenses", "a general public license General Public LICENSE", "ÉMIT license mit_license", "Licensed under the Apache License, Version 2.0.", "mit", None, "", "gnu general public x license",
              "Permission is hereby granted, free of charge, to any person obtaining a copy of this new software and associated documentation files, the software, to deal in the software"]
@@ -553,6 +656,8 @@ def test_fingerprints(spark, docs, odd, none):
                          float((fingerprints.sketch(text) == fingerprints.sketch(changed)).mean()), float((fingerprints.sketch(text) == fingerprints.sketch(following)).mean())))
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert fingerprints.fingerprint_neighbours(none).count() == 0
+    alone = fingerprints.fingerprint_neighbours(docs.limit(1)).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
 def test_sketch_selects_least_kmers_in_text_order():

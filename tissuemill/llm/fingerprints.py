@@ -114,7 +114,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last()]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").desc())
+    rows = rows.repartitionByRange(*order, F.substring("text", 1, 32).desc()).sortWithinPartitions(*order, F.col("text").desc())
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
     names = [*_RESULT, "part", "role", "text"]
 

@@ -11,8 +11,8 @@ lengths as deflated bytes' lengths); then, in this order, deflated document leng
 block checksums, words per block and span, lane states per span, and the words of all blocks.
 
 Cases: a null or empty text has no ids but the end id. Null doc_ids come first. Rows with equal doc_id are ordered by text and
-stay separate documents. An empty table gives an empty store. Further columns are not read. A single document larger than a
-segment gets one of its own.
+stay separate documents. An empty table gives an empty store. Further columns are not read. A segment is closed by the
+document that fills it, so that a document longer than a segment ends one, which is as long as need be.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,12 @@ MEMO_WORDS = 1_000_000
 #: Characters for which the vocabulary's normalizer and pattern act as ``_WORD`` does: printable ASCII, white space, and Latin
 #: letters and signs which have one lower-case form, are composed, and are no numbers outside 0-9.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-©«-¬®-±´¶-¸»¿-įĲ-Ňŋ-ſ]*")
+#: The normalizer and pattern of a vocabulary file for which ``_PLAIN`` and ``_WORD`` hold.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Characters of each task's first texts for which the ids are compared with the library's.
+COMPARED_CHARS = 100_000
+
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
@@ -56,6 +63,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.known = _is_known(json.loads(self.library.to_str()))
         self.width = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
         self.memo: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
@@ -88,6 +96,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # no word spans white space, so that chunks between white space are remembered whole
+        if not self.known:
+            return self._bytes(texts)
         plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
         lowered = pc.utf8_lower(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()))
         known = iter(remembered(self.memo, pc.utf8_split_whitespace(lowered), self._learn, MEMO_WORDS, self.width))
@@ -95,6 +105,20 @@ class WordTokenizer:
         return [next(known).tobytes() if p else next(others) for p in plain]
 
 
+def _is_known(file: dict) -> bool:
+    """Whether a vocabulary file cuts and normalises texts as ``_PLAIN`` and ``_WORD`` assume; others go to the library whole."""
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = file.get("model") or {}
+    return (
+        (file.get("normalizer") or {}).get("normalizers") == _NORMALIZER
+        and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ({"Regex": _PATTERN}, "Removed", True)
+        and (cuts[1].get("add_prefix_space"), cuts[1].get("use_regex")) == (False, False)
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and all(a.get("content", "").startswith("<|") for a in file.get("added_tokens") or [])
+    )
+
+
 @lru_cache(maxsize=2)
 def worker_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for all tasks of a Python worker, so that its memo outlives a task."""
@@ -220,11 +244,11 @@ def decode_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
 _SEGMENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.BinaryType()), T.StructField("image", T.BinaryType())])
 
 
-def write_store(work: Workspace, docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_store(work: Workspace, docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Tokenise ``docs``, append ``end_id`` to each, and write the segments in ascending doc_id order; returns the store's table."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -233,7 +257,7 @@ def write_store(work: Workspace, docs: DataFrame, tokenizer: str, end_id: int =
         end = np.array([end_id], dtype=tokens.width).tobytes()
         held: list[bytes] = []
         doc_ids: list[int | None] = []
-        size = 0
+        size, compared = 0, False
 
         def close() -> pa.RecordBatch:
             nonlocal number
@@ -248,11 +272,18 @@ def write_store(work: Workspace, docs: DataFrame, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[f.name for f in _SEGMENT])
 
         for b in slices(batches, 1):
-            for key, ids in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
+            texts = b.column(1).to_pylist()
+            coded = tokens.encode(texts)
+            if not compared:
+                first = next((i for i, n in enumerate(accumulate(map(len, texts)), 1) if n >= COMPARED_CHARS), len(texts))
+                if tokens._bytes(texts[:first]) != coded[:first]:
+                    raise RuntimeError("the ids differ from the tokenizers library's")
+                compared = True
+            for key, ids in zip(b.column(0).to_pylist(), coded, strict=True):
                 held.append(ids + end)
                 doc_ids.append(key)
                 size += len(ids) // len(end) + 1
-                if size >= SEGMENT_IDS:
+                if size >= segment_ids:
                     yield close()
                     size = 0
         if held:
