@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import keeper
+
 _TILE = "ty long, tx long, y0 long, x0 long, h long, w long, payload binary"
 
 
@@ -204,7 +206,7 @@ def segment(image: DataFrame, model: Callable[[np.ndarray], np.ndarray], size: i
     """
     from .graph import connected_components
 
-    keep = keep or (lambda df: df.checkpoint())
+    keep = keep or keeper(image.sparkSession)
 
     def work(parts: pd.DataFrame) -> pd.DataFrame:
         columns = ["ty", "tx", "y", "x", "instance", "own"]

@@ -296,7 +296,7 @@ def map_tiled(spark, d):
 
 @register("segment_tiled")
 def segment_tiled(spark, d):
-    from ..plans.keep import keeper
+    from ..shared import keeper
 
     return tiles.segment(el.image(spark, d, 1).select("y", "x", "value"), tiles.threshold_model(0.05), 8, 4, 0.3, keeper(spark))
 
@@ -354,7 +354,7 @@ def nhood_enrichment(spark, d):
 @register("connected_components", sql(f""", nd AS (SELECT y * {el.WIDTH} + x AS node, y, x, instance AS label FROM lab)
 SELECT node, component FROM (WITH RECURSIVE r(node, component) AS (SELECT node, node FROM nd UNION SELECT b.node, r.component FROM r JOIN nd a ON a.node = r.node JOIN nd b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label = b.label) SELECT node, min(component) AS component FROM r GROUP BY node)"""))
 def connected_components(spark, d):
-    from .keep import keeper
+    from ..shared import keeper
 
     c = grid_cells(spark, d)
     label = lambda n: c.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
@@ -376,7 +376,7 @@ def nhood_lda(spark, d):
 
 @register("label_propagation")
 def label_propagation(spark, d):
-    from .keep import keeper
+    from ..shared import keeper
 
     c = grid_cells(spark, d)
     return graph.label_propagation(graph.lattice(c, diagonal=True), c.select("node"), keep=keeper(spark))

@@ -192,7 +192,7 @@ def score_genes(spark, d):
 
 @register("score_genes_iter")
 def score_genes_iter(spark, d):
-    from .keep import keeper
+    from ..shared import keeper
 
     x = table.log1p(el.counts(spark, d))
     return annotate.score_genes_iter(x, el.cells(spark, d), el.markers(spark, d), el.TYPES, 3, keep=keeper(spark))
