@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 #: Pixels per row of the image: a vector is a pixel, its components are the channels.
 WIDTH = 25
+#: Components of a vector.
+CHANNELS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def image(spark: SparkSession, sf_dir: str, channels: int = 64) -> DataFrame:
+def image(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    rows = e.select(F.expr(f"vec_id div {WIDTH}").alias("y"), (F.col("vec_id") % WIDTH).alias("x"), F.posexplode(F.slice("embedding", 1, channels)).alias("c", "v"))
+    rows = e.select(F.expr(f"vec_id div {WIDTH}").alias("y"), (F.col("vec_id") % WIDTH).alias("x"), F.posexplode("embedding").alias("c", "v"))
     return rows.select("c", "y", "x", F.col("v").cast("double").alias("value"))
 
 

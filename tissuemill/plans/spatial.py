@@ -76,9 +76,9 @@ def combine_channels(spark, d):
 
 
 @register("normalize", sql(f""", b AS (SELECT c, quantile_cont(value, 0.03) AS lo, quantile_cont(value, 0.998) AS hi FROM img WHERE value <> 0 GROUP BY c)
-SELECT c, y, x, {rsql(('greatest(0.0, least(1.0, (value - lo) / (hi - lo + 1e-20)))', 'value'))} FROM img JOIN b USING (c) WHERE c < 8"""))
+SELECT c, y, x, {rsql(('greatest(0.0, least(1.0, (value - lo) / (hi - lo + 1e-20)))', 'value'))} FROM img JOIN b USING (c)"""))
 def normalize(spark, d):
-    return raster.normalize(el.image(spark, d, 8)).select("c", "y", "x", *rnd("value"))
+    return raster.normalize(el.image(spark, d)).select("c", "y", "x", *rnd("value"))
 
 
 @register("image_histogram", sql("SELECT c, least(floor((value + 1) / 0.1), 19)::INTEGER AS bin, count(*) AS n FROM img WHERE value BETWEEN -1 AND 1 AND value <> 0 GROUP BY ALL"))
@@ -86,9 +86,9 @@ def image_histogram(spark, d):
     return raster.histogram(el.image(spark, d), 20, -1.0, 1.0, exclude_zeros=True)
 
 
-@register("image_ecdf", sql(f"SELECT c, {rsql(('value', 'value'), ('share', 'share'))} FROM (SELECT DISTINCT c, value, cume_dist() OVER (PARTITION BY c ORDER BY value) AS share FROM img WHERE c < 4)"))
+@register("image_ecdf", sql(f"SELECT c, {rsql(('value', 'value'), ('share', 'share'))} FROM (SELECT DISTINCT c, value, cume_dist() OVER (PARTITION BY c ORDER BY value) AS share FROM img)"))
 def image_ecdf(spark, d):
-    return raster.ecdf(el.image(spark, d, 4)).select("c", *rnd("value", "share"))
+    return raster.ecdf(el.image(spark, d)).select("c", *rnd("value", "share"))
 
 
 @register("mean_normalized", sql(f""", b AS (SELECT c, quantile_cont(value, 0.03) AS lo, quantile_cont(value, 0.998) AS hi FROM img WHERE value <> 0 GROUP BY c)
@@ -126,10 +126,10 @@ def radii_and_axes(spark, d):
     return raster.radii_and_axes(el.labels(spark, d)).select("instance", F.get("radii", F.lit(0)).alias("r0"), F.get("radii", F.lit(1)).alias("r1")).select("instance", *rnd("r0", "r1"))
 
 
-@register("instance_statistics", sql(f"SELECT instance, {rsql(('max(value) FILTER (c = 1) - min(value) FILTER (c = 1)', 'spread'))} FROM img JOIN lab USING (y, x) WHERE instance <> 0 AND c < 2 GROUP BY 1"))
+@register("instance_statistics", sql(f"SELECT instance, c, {rsql(('max(value) - min(value)', 'spread'))} FROM img JOIN lab USING (y, x) WHERE instance <> 0 GROUP BY instance, c"))
 def instance_statistics(spark, d):
-    out = raster.instance_statistics(el.image(spark, d, 2), el.labels(spark, d), lambda v: np.ptp(v, axis=1))
-    return out.select("instance", F.get("stats", F.lit(1)).alias("spread")).select("instance", *rnd("spread"))
+    out = raster.instance_statistics(el.image(spark, d), el.labels(spark, d), lambda v: np.ptp(v, axis=1))
+    return out.select("instance", F.posexplode("stats").alias("c", "spread")).select("instance", "c", *rnd("spread"))
 
 
 # masks
@@ -283,14 +283,14 @@ def gaussian_tiled(spark, d):
     return tiles.gaussian_filter(el.image(spark, d), 1.0, 8).select("c", "y", "x", *rnd("value"))
 
 
-@register("top_hat_tiled", sql(", i AS (SELECT * FROM img WHERE c < 2), e AS (SELECT a.c, a.y, a.x, any_value(a.value) AS v, min(b.value) AS lo FROM i a JOIN i b ON a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) SELECT a.c, a.y, a.x, round(any_value(a.v) - max(b.lo) + 0.0, 6) AS value FROM e a JOIN e b ON a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL"))
+@register("top_hat_tiled", sql(", e AS (SELECT a.c, a.y, a.x, any_value(a.value) AS v, min(b.value) AS lo FROM img a JOIN img b ON a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) SELECT a.c, a.y, a.x, round(any_value(a.v) - max(b.lo) + 0.0, 6) AS value FROM e a JOIN e b ON a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL"))
 def top_hat_tiled(spark, d):
-    return tiles.min_max_filter(el.image(spark, d, 2), 3, 6).select("c", "y", "x", *rnd("value"))
+    return tiles.min_max_filter(el.image(spark, d), 3, 6).select("c", "y", "x", *rnd("value"))
 
 
-@register("map_tiled", sql("SELECT c, y, x, round(2 * value + 1, 6) AS value FROM img WHERE c < 2"))
+@register("map_tiled", sql("SELECT c, y, x, round(2 * value + 1, 6) AS value FROM img"))
 def map_tiled(spark, d):
-    t = tiles.to_tiles(el.image(spark, d, 2), 7)
+    t = tiles.to_tiles(el.image(spark, d), 7)
     return tiles.from_tiles(tiles.map_tiles(t, lambda a: 2 * a + 1, 2, 7)).select("c", "y", "x", *rnd("value"))
 
 
@@ -298,21 +298,23 @@ def map_tiled(spark, d):
 def segment_tiled(spark, d):
     from ..shared import keeper
 
-    return tiles.segment(el.image(spark, d, 1).select("y", "x", "value"), tiles.threshold_model(0.05), 8, 4, 0.3, keeper(spark))
+    # the model takes one value a pixel: the sum over all channels
+    summed = el.image(spark, d).groupBy("y", "x").agg(F.sum("value").alias("value"))
+    return tiles.segment(summed, tiles.threshold_model(0.05), 8, 4, 0.3, keeper(spark))
 
 
 @register("extract_instances", sql(f""", k AS (SELECT instance, round_even(avg(y), 0)::BIGINT AS cy, round_even(avg(x), 0)::BIGINT AS cx FROM grd GROUP BY 1)
-SELECT k.instance, c, count(*) AS n, {rsql(('sum(value)', 'sum'))} FROM k JOIN grd g ON g.instance = k.instance AND g.y BETWEEN cy - 1 AND cy + 1 AND g.x BETWEEN cx - 1 AND cx + 1 JOIN img i ON i.y = g.y AND i.x = g.x WHERE c < 2 GROUP BY ALL"""))
+SELECT k.instance, c, count(*) AS n, {rsql(('sum(value)', 'sum'))} FROM k JOIN grd g ON g.instance = k.instance AND g.y BETWEEN cy - 1 AND cy + 1 AND g.x BETWEEN cx - 1 AND cx + 1 JOIN img i ON i.y = g.y AND i.x = g.x GROUP BY ALL"""))
 def extract_instances(spark, d):
-    p = patches.extract_instances(el.image(spark, d, 2), el.grid(spark, d), 3)
+    p = patches.extract_instances(el.image(spark, d), el.grid(spark, d), 3)
     return p.groupBy("instance", "c").agg(F.count("*").alias("n"), F.sum("value").alias("sum")).select("instance", "c", "n", *rnd("sum"))
 
 
 @register("featurize", sql(f""", k AS (SELECT instance, round_even(avg(y), 0)::BIGINT AS cy, round_even(avg(x), 0)::BIGINT AS cx FROM grd GROUP BY 1)
-SELECT k.instance, {rsql(('sum(value)', 'total'))} FROM k JOIN grd g ON g.instance = k.instance AND g.y BETWEEN cy - 1 AND cy + 1 AND g.x BETWEEN cx - 1 AND cx + 1 JOIN img i ON i.y = g.y AND i.x = g.x WHERE c < 2 GROUP BY 1"""))
+SELECT k.instance, {rsql(('sum(value)', 'total'))} FROM k JOIN grd g ON g.instance = k.instance AND g.y BETWEEN cy - 1 AND cy + 1 AND g.x BETWEEN cx - 1 AND cx + 1 JOIN img i ON i.y = g.y AND i.x = g.x GROUP BY 1"""))
 def featurize(spark, d):
-    vectors = patches.patch_vectors(patches.extract_instances(el.image(spark, d, 2), el.grid(spark, d), 3), 2, 3)
-    out = patches.featurize(vectors, lambda a: a.reshape(len(a), -1).sum(1, keepdims=True), 2, 3)
+    vectors = patches.patch_vectors(patches.extract_instances(el.image(spark, d), el.grid(spark, d), 3), el.CHANNELS, 3)
+    out = patches.featurize(vectors, lambda a: a.reshape(len(a), -1).sum(1, keepdims=True), el.CHANNELS, 3)
     return out.select("instance", F.get("embedding", F.lit(0)).alias("total")).select("instance", *rnd("total"))
 
 

@@ -102,11 +102,11 @@ def cell_cluster_counts(spark, d):
     return table.cell_cluster_counts(named(el.labels(spark, d)), named(clusters))
 
 
-@register("weighted_channel_expression", sql(f", k AS (SELECT l.instance, c.instance AS cluster, count(*) AS n FROM lab l JOIN clu c USING (y, x) WHERE l.instance <> 0 GROUP BY ALL), v AS (SELECT instance AS cluster, c, avg(value) AS value FROM img JOIN clu USING (y, x) WHERE c < 8 GROUP BY ALL), z AS (SELECT instance, count(*) AS size FROM lab GROUP BY 1) SELECT instance, c, {rsql(('sum(n * value) / any_value(size)', 'value'))} FROM k JOIN v USING (cluster) JOIN z USING (instance) GROUP BY instance, c"))
+@register("weighted_channel_expression", sql(f", k AS (SELECT l.instance, c.instance AS cluster, count(*) AS n FROM lab l JOIN clu c USING (y, x) WHERE l.instance <> 0 GROUP BY ALL), v AS (SELECT instance AS cluster, c, avg(value) AS value FROM img JOIN clu USING (y, x) GROUP BY ALL), z AS (SELECT instance, count(*) AS size FROM lab GROUP BY 1) SELECT instance, c, {rsql(('sum(n * value) / any_value(size)', 'value'))} FROM k JOIN v USING (cluster) JOIN z USING (instance) GROUP BY instance, c"))
 def weighted_channel_expression(spark, d):
     lab, clu = el.labels(spark, d), el.cluster_raster(spark, d).select("y", "x", F.col("instance").cast("long").alias("cluster"))
     counts = lab.where("instance <> 0").join(clu, ["y", "x"]).groupBy("instance", "cluster").agg(F.count("*").alias("n"))
-    intensity = el.image(spark, d, 8).join(clu, ["y", "x"]).groupBy("cluster", "c").agg(F.avg("value").alias("value"))
+    intensity = el.image(spark, d).join(clu, ["y", "x"]).groupBy("cluster", "c").agg(F.avg("value").alias("value"))
     sizes = lab.groupBy("instance").agg(F.count("*").alias("size"))
     return table.weighted_channel_expression(counts, intensity, sizes).select("instance", "c", *rnd("value"))
 
@@ -216,10 +216,10 @@ def pca(spark, d):
     return cluster.pca(vectors(spark, d), 5)
 
 
-@register("lloyd_step", sql(f", c AS (SELECT * FROM (VALUES (0, -0.1::DOUBLE), (1, 0.0), (2, 0.1)) v(cluster, center)), n AS (SELECT y, x, value, arg_min(cluster, (abs(value - center), cluster)) AS cluster FROM img, c WHERE c = 0 GROUP BY ALL) SELECT cluster, {rsql(('avg(value)', 'center'))} FROM n GROUP BY 1".replace("WHERE c = 0", "WHERE img.c = 0")))
+@register("lloyd_step", sql(f", c AS (SELECT * FROM (VALUES (0, -0.1::DOUBLE), (1, 0.0), (2, 0.1)) v(cluster, center)), n AS (SELECT img.c AS channel, y, x, value, arg_min(cluster, (abs(value - center), cluster)) AS cluster FROM img, c GROUP BY ALL) SELECT cluster, {rsql(('avg(value)', 'center'))} FROM n GROUP BY 1"))
 def lloyd_step(spark, d):
     centers = spark.createDataFrame([(0, -0.1), (1, 0.0), (2, 0.1)], "cluster int, center double")
-    nodes = el.image(spark, d, 1).select(F.struct("y", "x").alias("node"), "value")
+    nodes = el.image(spark, d).select(F.struct("c", "y", "x").alias("node"), "value")
     return cluster.lloyd_step(nodes, centers).select("cluster", *rnd("center"))
 
 
