@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..keys import YX
+from .order import numbered
 
 METRICS = ("source_fraction", "reference_fraction", "iou")
 
@@ -91,16 +92,8 @@ def merge_labels(candidate: DataFrame, priority: DataFrame, threshold: float = 0
 
 
 def _numbered(ids: DataFrame, after: int) -> DataFrame:
-    """(instance, new): ids numbered in their order from ``after`` + 1, partition by partition of a range partitioning."""
-    ranged = ids.repartitionByRange("instance").withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("instance")))
-    sizes = {r["_p"]: r["n"] for r in own.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    base, total = [], after
-    for p in sorted(sizes):  # a number per partition
-        base.append((p, total))
-        total += sizes[p]
-    bases = ids.sparkSession.createDataFrame(base, "_p int, _base long")
-    return own.join(F.broadcast(bases), "_p").select("instance", (F.col("_base") + F.col("_r")).alias("new"))
+    """(instance, new): ids numbered in their order from ``after`` + 1."""
+    return numbered(ids.select("instance"), ["instance"], "new", after)
 
 
 def merge_nuclei(nuclei: DataFrame, expanded: DataFrame, cells: DataFrame, threshold: float = 0.5, on: Sequence[str] = YX) -> DataFrame:
