@@ -24,7 +24,7 @@ def marker_scores(x: DataFrame, obs: DataFrame, markers: DataFrame, controls: in
     own = markers.join(binned.select("gene", "bin"), "gene")
     wanted = own.select("type", "bin").distinct()
     others = wanted.join(binned.select("gene", "bin"), "bin").join(own.select("type", "gene"), ["type", "gene"], "left_anti")
-    order = Window.partitionBy("type", "bin").orderBy(F.xxhash64("gene"), "gene")
+    order = Window.partitionBy("type", "bin").orderBy(F.md5("gene"), "gene")
     control = others.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= controls).select("type", "gene", F.lit(-1.0).alias("w"))
     weights = own.select("type", "gene", F.lit(1.0).alias("w")).unionByName(control)
     each = weights.groupBy("type", "w").agg(F.count("*").alias("k"))

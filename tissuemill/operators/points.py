@@ -77,3 +77,12 @@ def genes_left_out(points: DataFrame, counts: DataFrame, box: tuple[float, float
     raw = crop(points, box).groupBy("gene").agg(F.count("*").alias("raw"))
     kept = counts.groupBy("gene").agg(F.sum("count").alias("kept"))
     return raw.join(kept, "gene", "left").select("gene", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), "raw", (F.coalesce("kept", F.lit(0)) / F.col("raw")).alias("proportion"), F.ln("raw").alias("log_raw"))
+
+
+def left_out_correlation(points: DataFrame, counts: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """(n, pearson): genes, and the correlation of the kept proportion with the log count, null where either doesn't vary; raises where a gene of the box was never kept."""
+    rows = genes_left_out(points, counts, box)
+    if rows.where("kept = 0").limit(1).count():
+        raise ValueError("a gene has no allocated point")
+    pearson = F.try_divide(F.covar_samp("proportion", "log_raw"), F.stddev_samp("proportion") * F.stddev_samp("log_raw"))
+    return rows.agg(F.count("*").alias("n"), pearson.alias("pearson"))

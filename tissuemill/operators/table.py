@@ -38,8 +38,8 @@ def filter_genes(x: DataFrame, min_cells: int) -> DataFrame:
 
 
 def normalize_by_size(x: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Values times 100 over the cell's size; ``sizes`` is (instance, size)."""
-    return x.join(sizes.select("instance", "size"), "instance").withColumn("value", F.col("value") * 100 / F.col("size")).drop("size").select(x.columns)
+    """Values times 100 over the cell's size; ``sizes`` is (instance, size). Cells without a size stay, with null values."""
+    return x.join(sizes.select("instance", "size"), "instance", "left").withColumn("value", F.col("value") * 100 / F.col("size")).drop("size").select(x.columns)
 
 
 def normalize_by_total(x: DataFrame) -> DataFrame:
@@ -102,6 +102,27 @@ def preprocess_proteomics(x: DataFrame, obs: DataFrame, size_norm: bool = True,
     return quantile_normalize(out, q) if q is not None else scale(out, obs, max_value) if max_value is not None else out
 
 
+def subset(x: DataFrame, obs: DataFrame, regions: Sequence | None = None, genes: Sequence[str] | None = None, positions: Sequence[int] | None = None) -> dict[str, DataFrame]:
+    """The table of some regions and genes: ``x`` with the gene's ``place`` in the choice, and ``obs``; None takes all.
+
+    Genes are chosen by name, or by position among the sorted names, and stand in the order of the choice. Raises
+    ``ValueError`` for names and positions that the table doesn't have, or where both are given.
+    """
+    if genes is not None and positions is not None:
+        raise ValueError("genes by name or by position, not both")
+    cells = obs if regions is None else obs.where(F.col("region").isin(list(regions)))
+    known = [r.gene for r in x.select("gene").distinct().orderBy("gene").collect()]
+    if positions is not None and any(not 0 <= i < len(known) for i in positions):
+        raise ValueError("a position is outside the table")
+    wanted = known if genes is None and positions is None else list(genes) if positions is None else [known[i] for i in positions]
+    if set(wanted) - set(known):
+        raise ValueError(f"the table has no {sorted(set(wanted) - set(known))}")
+    order = x.sparkSession.createDataFrame([(g, i) for i, g in enumerate(dict.fromkeys(wanted))], "gene string, place int")
+    # as long as the list that was asked for
+    kept = x.join(F.broadcast(order), "gene").join(cells.select("instance").distinct(), "instance", "left_semi")
+    return {"x": kept.select(*x.columns, "place"), "obs": cells}
+
+
 def filter_on_size(obs: DataFrame, min_size: float, max_size: float) -> DataFrame:
     """Cells with min_size < size < max_size."""
     return obs.where((F.col("size") > min_size) & (F.col("size") < max_size))

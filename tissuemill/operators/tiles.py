@@ -198,37 +198,110 @@ def threshold_model(level: float) -> Callable[[np.ndarray], np.ndarray]:
     return lambda a: components_2d(a > level)
 
 
-def segment(image: DataFrame, model: Callable[[np.ndarray], np.ndarray], size: int = 1024, depth: int = 32, iou: float = 0.7, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Segment one channel of long pixels tile by tile and stitch the tiles: (y, x, instance).
+def _stack(parts: pd.DataFrame, size: int, channels: int) -> tuple[np.ndarray, int, int] | None:
+    """The haloed arrays of a tile, one a channel, and their place; None where no channel has the tile itself."""
+    ty, tx = int(parts.ty.iloc[0]), int(parts.tx.iloc[0])
+    if not ((parts.y0 == ty * size) & (parts.x0 == tx * size)).any():
+        return None
+    y0, x0 = int(parts.y0.min()), int(parts.x0.min())
+    out = np.zeros((channels, int((parts.y0 + parts.h).max()) - y0, int((parts.x0 + parts.w).max()) - x0))
+    for r in parts.itertuples():
+        out[r.c, r.y0 - y0 : r.y0 - y0 + r.h, r.x0 - x0 : r.x0 - x0 + r.w] = _array(r.payload, r.h, r.w)
+    return out, y0, x0
 
-    A tile's labels are shifted by 32 bits over the tile's number; labels of neighbouring tiles whose intersection over union
-    in the pixels that both tiles saw is at least ``iou`` are one instance. Each tile keeps its own pixels.
-    """
-    from .graph import connected_components
 
-    keep = keep or keeper(image.sparkSession)
+def _labelled(stack: DataFrame, channels: int, fn: Callable[..., np.ndarray], size: int, depth: int, relabel: bool) -> DataFrame:
+    """(ty, tx, y, x, instance, own): labels of ``fn`` on each tile's haloed channels; relabelled ones are shifted over the tile's number."""
 
     def work(parts: pd.DataFrame) -> pd.DataFrame:
-        columns = ["ty", "tx", "y", "x", "instance", "own"]
-        found = _assemble(parts, size, depth)
+        found = _stack(parts, size, channels)
         if found is None:
-            return pd.DataFrame(columns=columns)
-        whole, y0, x0 = found
+            return pd.DataFrame(columns=["ty", "tx", "y", "x", "instance", "own"])
+        arrays, y0, x0 = found
         ty, tx = int(parts.ty.iloc[0]), int(parts.tx.iloc[0])
-        labels = np.asarray(model(whole)).astype(np.int64)
+        labels = np.asarray(fn(*arrays)).astype(np.int64)
         y, x = np.nonzero(labels)
-        instance = ((np.int64(ty) & 0x7FFF) << 47) | ((np.int64(tx) & 0x7FFF) << 32) | labels[y, x]
+        instance = labels[y, x]
+        if relabel:
+            instance = ((np.int64(ty) & 0x7FFF) << 47) | ((np.int64(tx) & 0x7FFF) << 32) | instance
         y, x = y + y0, x + x0
         own = (y // size == ty) & (x // size == tx)
         return pd.DataFrame({"ty": ty, "tx": tx, "y": y, "x": x, "instance": instance, "own": own})
 
-    tiles = to_tiles(image.withColumn("c", F.lit(0)), size)
-    seen = keep(with_halo(tiles, depth, size).groupBy("ty", "tx").applyInPandas(work, "ty long, tx long, y long, x long, instance long, own boolean"))
+    return with_halo(to_tiles(stack, size), depth, size).groupBy("ty", "tx").applyInPandas(work, "ty long, tx long, y long, x long, instance long, own boolean")
+
+
+def _stitched(seen: DataFrame, iou: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(y, x, instance): each tile's own pixels, labels that agree between tiles made one."""
+    from .graph import connected_components
+
     links = stitch_links(seen, iou)
     labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), seen.select(F.col("instance").alias("node")).distinct(), keep)
     return seen.where("own").join(labels.withColumnRenamed("node", "instance"), "instance").select("y", "x", F.col("component").alias("instance"))
 
 
+def segment(image: DataFrame, model: Callable[..., np.ndarray], size: int = 1024, depth: int = 32, iou: float = 0.7, keep: Callable[[DataFrame], DataFrame] | None = None, channels: Sequence | None = None) -> DataFrame:
+    """Segment long pixels tile by tile and stitch the tiles: (y, x, instance).
+
+    The model gets one array, or one for each of ``channels`` of an image (c, y, x, value). A tile's labels are shifted by 32
+    bits over the tile's number; labels of neighbouring tiles whose intersection over union in the pixels that both tiles saw
+    is at least ``iou`` are one instance. Each tile keeps its own pixels.
+    """
+    keep = keep or keeper(image.sparkSession)
+    if channels is None:
+        stack = image.withColumn("c", F.lit(0))
+    else:
+        place = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("c")) - 1
+        stack = image.where(F.col("c").isin(list(channels))).withColumn("c", place.cast("int"))
+    return _stitched(keep(_labelled(stack, 1 if channels is None else len(channels), model, size, depth, True)), iou, keep)
+
+
+def map_labels(masks: Sequence[DataFrame], fn: Callable[..., np.ndarray], size: int = 1024, depth: int = 100, iou: float = 0.7, relabel: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Apply a function of aligned masks to one mask, tile by tile: (y, x, instance) without background.
+
+    ``fn`` gets an array of labels of each mask, with a halo of ``depth``, and returns labels of the same shape. With
+    ``relabel`` these are a tile's own and tiles are stitched as in ``segment``; without it they name instances of the whole
+    image and every tile keeps its own pixels. Pixels that a mask lacks are 0. Raises where a label is over 2**53, as tiles
+    hold doubles.
+    """
+    spark = masks[0].sparkSession
+    stack = None
+    for i, m in enumerate(masks):
+        one = m.select(F.lit(i).alias("c"), "y", "x", F.col("instance").alias("value"))
+        stack = one if stack is None else stack.unionByName(one)
+    if stack.where(F.abs("value") > 2**53).limit(1).count():
+        raise ValueError("a label is over 2**53; number the instances first")
+    whole = lambda *a: fn(*[x.astype(np.int64) for x in a])
+    seen = _labelled(stack, len(masks), whole, size, min(depth, size), relabel)
+    if not relabel:
+        return seen.where("own").select("y", "x", "instance")
+    keep = keep or keeper(spark)
+    return _stitched(keep(seen), iou, keep)
+
+
+def flat_field(image: DataFrame, size: int) -> DataFrame:
+    """(c, ty, tx, flat): the median over all tiles of ``size`` at each place of a tile, over the channel's mean of those medians.
+
+    Stands in for an optimised flat field: what stands at the same place of most tiles is the illumination.
+    """
+    medians = image.groupBy("c", (F.col("y") % size).alias("ty"), (F.col("x") % size).alias("tx")).agg(F.percentile("value", 0.5).alias("m"))
+    means = medians.groupBy("c").agg(F.avg("m").alias("a"))
+    return medians.join(F.broadcast(means), "c").select("c", "ty", "tx", F.try_divide("m", "a").alias("flat"))
+
+
+def tiling_correction(image: DataFrame, size: int) -> DataFrame:
+    """Long pixels over the flat field of their tile's places; places without light (0 or null) keep their values.
+
+    Raises ``ValueError`` where the image isn't whole tiles.
+    """
+    ends = image.agg(F.max("y").alias("y"), F.max("x").alias("x")).first()
+    if ends.y is not None and ((ends.y + 1) % size or (ends.x + 1) % size):
+        raise ValueError("the image's sides must be multiples of the tile's")
+    keyed = image.withColumn("ty", F.col("y") % size).withColumn("tx", F.col("x") % size)
+    corrected = F.coalesce(F.try_divide("value", "flat"), F.col("value").cast("double"))
+    return keyed.join(flat_field(image, size), ["c", "ty", "tx"]).withColumn("value", corrected).select(image.columns)
+
+
 def stitch_links(seen: DataFrame, iou: float = 0.7) -> DataFrame:
     """(a, b): labels of two tiles whose overlap over union, counted in the pixels where both tiles have a label or none, is at least ``iou``."""
     twice = seen.groupBy("y", "x").agg(F.count("*").alias("k")).where("k > 1").select("y", "x")

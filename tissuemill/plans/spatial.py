@@ -97,12 +97,24 @@ def mean_normalized(spark, d):
     return raster.mean_normalized(el.image(spark, d)).select("c", *rnd("value"))
 
 
-@register("signal_to_noise")
+#: Otsu's threshold of each group in {keys} of ``sig`` by prefix sums over the occupied ones of 65,536 bins, and the ratio of the means around it.
+OTSU = """, rng AS (SELECT {keys}, min(value) AS lo, max(value) AS hi FROM sig GROUP BY ALL),
+bns AS (SELECT {keys}, lo, hi, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 65536), 65535) ELSE 0 END AS bin, count(*) AS n FROM sig JOIN rng USING ({keys}) GROUP BY ALL),
+cen AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 65536 AS center FROM bns),
+cum AS (SELECT {keys}, lo, hi, center, bin, sum(n) OVER w AS nl, sum(n * center) OVER w AS sl, sum(n) OVER (PARTITION BY {keys}) AS na, sum(n * center) OVER (PARTITION BY {keys}) AS sa FROM cen WINDOW w AS (PARTITION BY {keys} ORDER BY bin)),
+cut AS (SELECT {keys}, CASE WHEN any_value(hi) > any_value(lo) THEN arg_max(center, nl * (na - nl) * pow(sl / nl - (sa - sl) / (na - nl), 2)) FILTER (nl < na) ELSE any_value(lo) END AS threshold FROM cum GROUP BY ALL),
+snr AS (SELECT {keys}, threshold, avg(value) FILTER (value > threshold) / avg(value) FILTER (value <= threshold) AS snr FROM sig JOIN cut USING ({keys}) GROUP BY ALL)"""
+
+
+@register("signal_to_noise", sql(f", sig AS (SELECT c, abs(value) AS value FROM img){OTSU.format(keys='c')} SELECT c, {rsql(('threshold', 'threshold'), ('snr', 'snr'))} FROM snr"))
 def signal_to_noise(spark, d):
     return raster.signal_to_noise(el.image(spark, d).withColumn("value", F.abs("value"))).select("c", *rnd("threshold", "snr"))
 
 
-@register("pixel_preprocess")
+@register("pixel_preprocess", sql(f""", q AS (SELECT c, quantile_cont(abs(value), 0.99) AS q FROM img WHERE value <> 0 GROUP BY c),
+s AS (SELECT c, y, x, coalesce(abs(value) / nullif(q, 0), 0) AS value FROM img JOIN q USING (c)), p AS (SELECT y, x, sum(value) AS s FROM s GROUP BY ALL),
+k AS (SELECT c, y, x, value / s AS value FROM s JOIN p USING (y, x) WHERE s > 0 AND s >= (SELECT quantile_cont(s, 0.05) FROM p)), t AS (SELECT c, quantile_cont(value, 0.999) AS t FROM k WHERE value <> 0 GROUP BY c)
+SELECT 'a' AS image, c, y, x, {rsql(('least(coalesce(value / nullif(t, 0), 0), 1)', 'value'))} FROM k LEFT JOIN t USING (c)"""))
 def pixel_preprocess(spark, d):
     rows = el.image(spark, d).withColumn("value", F.abs("value")).withColumn("image", F.lit("a"))
     return raster.pixel_preprocess(rows).select("image", "c", "y", "x", *rnd("value"))
@@ -197,7 +209,12 @@ def square_grid(spark, d):
     return lab.select("y", "x", masks.square_grid(height, el.WIDTH, 4, (1, 2))[0].alias("instance"))
 
 
-@register("hexagon_grid")
+HEX = f""", b AS (SELECT max(y) + 1 AS height FROM lab), r AS (SELECT j, 3 + 4.5 * j AS cy FROM b, range(0, height) r(j) WHERE 3 + 4.5 * j + 3 <= height),
+h AS (SELECT row_number() OVER (ORDER BY j, i) AS label, cy, sqrt(3) * (1.5 + 3 * i + CASE WHEN j % 2 = 1 THEN 1.5 ELSE 0 END) AS cx FROM r, range(0, {el.WIDTH}) c(i) WHERE sqrt(3) * (3 + 3 * i + CASE WHEN j % 2 = 1 THEN 1.5 ELSE 0 END) <= {el.WIDTH})
+SELECT y, x, coalesce(min(label), 0) AS instance FROM lab LEFT JOIN h ON abs(x + 0.5 - cx) <= 1.5 * sqrt(3) AND abs(y + 0.5 - cy) <= 3 - abs(x + 0.5 - cx) / sqrt(3) GROUP BY y, x"""
+
+
+@register("hexagon_grid", sql(HEX))
 def hexagon_grid(spark, d):
     lab = el.labels(spark, d)
     return masks.hexagon_grid(lab.select("y", "x"), lab.agg(F.max("y")).first()[0] + 1, el.WIDTH, 3)
@@ -269,6 +286,13 @@ def genes_left_out(spark, d):
     return points.genes_left_out(p, points.allocate(p, el.grid(spark, d))["x"], (0, 25, 0, 20)).select("gene", "kept", "raw", *rnd("proportion", "log_raw"))
 
 
+@register("left_out_correlation", sql(f"{ALLOC}, r AS (SELECT gene, count(*) AS raw FROM pts WHERE x >= 0 AND x < 25 AND y >= 0 AND y < 20 GROUP BY 1), k AS (SELECT gene, count(*) AS kept FROM al WHERE instance % 3 <> 0 GROUP BY 1) SELECT count(*) AS n, {rsql(('covar_samp(kept / raw, ln(raw)) / nullif(stddev_samp(kept / raw) * stddev_samp(ln(raw)), 0)', 'pearson'))} FROM r JOIN k USING (gene)"))
+def left_out_correlation(spark, d):
+    p = el.points(spark, d)
+    some = el.grid(spark, d).where("instance % 3 <> 0")
+    return points.left_out_correlation(p, points.allocate(p, some)["x"], (0, 25, 0, 20)).select("n", *rnd("pearson"))
+
+
 @register("read_transcripts", sql(f"SELECT {rsql(('2 * x + 1', 'x'), ('3 * y - 2', 'y'))}, gene FROM pts, range(0, 2) WHERE gene NOT LIKE '%Brand#1%' AND 2 * x + 1 >= 5 AND 2 * x + 1 < 30 AND 3 * y - 2 >= 0 AND 3 * y - 2 < 60"))
 def read_transcripts(spark, d):
     raw = el.points(spark, d).select("x", "y", "gene", F.lit(2).alias("n"))
@@ -278,7 +302,15 @@ def read_transcripts(spark, d):
 # tiles, windows, graphs
 
 
-@register("gaussian_tiled")
+#: Both passes of the blur with sigma 1, mirrored at the image's ends.
+BLUR = """, b AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM img), o AS (SELECT d, exp(-0.5 * d * d) AS e FROM range(-4, 5) r(d)), k AS (SELECT d, e / (SELECT sum(e) FROM o) AS e FROM o),
+py AS (SELECT y, CASE WHEN m < h THEN m ELSE 2 * h - 1 - m END AS sy, e FROM (SELECT y, h, e, ((y + d) % (2 * h) + 2 * h) % (2 * h) AS m FROM b, range(0, h) r(y), k)),
+px AS (SELECT x, CASE WHEN m < w THEN m ELSE 2 * w - 1 - m END AS sx, e FROM (SELECT x, w, e, ((x + d) % (2 * w) + 2 * w) % (2 * w) AS m FROM b, range(0, w) r(x), k)),
+v AS (SELECT c, py.y, i.x, sum(e * value) AS value FROM py JOIN img i ON i.y = py.sy GROUP BY ALL)
+SELECT c, v.y, px.x, round(sum(e * value) + 0.0, 6) AS value FROM px JOIN v ON v.x = px.sx GROUP BY ALL"""
+
+
+@register("gaussian_tiled", sql(BLUR))
 def gaussian_tiled(spark, d):
     return tiles.gaussian_filter(el.image(spark, d), 1.0, 8).select("c", "y", "x", *rnd("value"))
 
@@ -347,7 +379,13 @@ def observed_pairs(spark, d):
     return graph.observed_pairs(graph.lattice(c), c.select("node", "label"))
 
 
-@register("nhood_enrichment")
+@register("nhood_enrichment", sql(f"""{NB}, o AS (SELECT a, b, count(*) AS n FROM ed GROUP BY ALL),
+rk AS (SELECT run, node, label, row_number() OVER (PARTITION BY run ORDER BY node) AS r, row_number() OVER (PARTITION BY run ORDER BY md5('0-' || run || '-' || node), node) AS h FROM nd, range(1, 101) p(run)),
+dl AS (SELECT x.run, x.node, z.label FROM rk x JOIN rk z ON x.run = z.run AND x.r = z.h),
+s AS (SELECT run, a.label AS a, b.label AS b, count(*) AS n FROM ed JOIN dl a ON a.node = ed.src JOIN dl b USING (run) WHERE b.node = ed.dst GROUP BY ALL),
+m AS (SELECT a, b, sum(n) / 100 AS mean, sum(n * n) / 100 AS square FROM s GROUP BY ALL),
+j AS (SELECT a, b, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean, coalesce(square, 0) AS square FROM o FULL JOIN m USING (a, b))
+SELECT a, b, n, {rsql(('(n - mean) / nullif(sqrt(greatest(0, square - mean * mean)), 0)', 'z'))} FROM j"""))
 def nhood_enrichment(spark, d):
     c = grid_cells(spark, d)
     return graph.enrichment(graph.lattice(c), c.select("node", "label")).select("a", "b", "n", *rnd("z"))
@@ -376,7 +414,15 @@ def nhood_lda(spark, d):
     return graph.neighborhood_lda(graph.lattice(c), c.select("node", "label"), 3).select("node", "niche")
 
 
-@register("label_propagation")
+def _propagation(rounds: int = 10) -> str:
+    """The rounds of label propagation, one after another: rounds after the last change change nothing."""
+    votes = "SELECT e.src, l.community, 1.0 AS w FROM eg e JOIN l{0} l ON l.node = e.dst UNION ALL SELECT node, community, 0.5 FROM l{0}"
+    step = "l{1} AS MATERIALIZED (SELECT src AS node, arg_max(community, (w, -community)) AS community FROM (SELECT src, community, sum(w) AS w FROM (" + votes + ") GROUP BY ALL) GROUP BY src)"
+    start = f", nd AS (SELECT y * {el.WIDTH} + x AS node, y, x FROM lab), eg AS MATERIALIZED (SELECT a.node AS src, b.node AS dst FROM nd a JOIN nd b ON a.node <> b.node AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT node, node AS community FROM nd)"
+    return start + "".join(", " + step.format(i, i + 1) for i in range(rounds)) + f" SELECT node, community FROM l{rounds}"
+
+
+@register("label_propagation", sql(_propagation()))
 def label_propagation(spark, d):
     from ..shared import keeper
 
@@ -384,6 +430,35 @@ def label_propagation(spark, d):
     return graph.label_propagation(graph.lattice(c, diagonal=True), c.select("node"), keep=keeper(spark))
 
 
+@register("modularity", sql(f"{NB}, s AS (SELECT a, sum(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS i, count(*) AS k FROM ed GROUP BY a) SELECT {rsql(('sum(i) / sum(k) - sum(k * k) / pow(sum(k), 2)', 'modularity'))} FROM s"))
+def modularity(spark, d):
+    c = grid_cells(spark, d)
+    return graph.modularity(graph.lattice(c), c.select("node", F.col("label").alias("community"))).select(*rnd("modularity"))
+
+
+@register("modularity_communities")
+def modularity_communities(spark, d):
+    c = grid_cells(spark, d)
+    return graph.modularity_communities(graph.lattice(c, diagonal=True), c.select("node"))
+
+
+@register("k_nearest", f"WITH p AS (SELECT c_custkey AS node, c_acctbal::DOUBLE AS y, ((c_custkey % 10) * c_custkey)::DOUBLE AS x FROM customer), d AS (SELECT a.node AS src, b.node AS dst, sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS distance FROM p a JOIN p b ON a.node <> b.node) SELECT src, dst, {rsql(('distance', 'distance'))} FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY distance, dst) <= 6")
+def k_nearest(spark, d):
+    places = el.table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").cast("double").alias("y"), ((F.col("c_custkey") % 10) * F.col("c_custkey")).alias("x"))
+    return graph.k_nearest(places, 6).select("src", "dst", *rnd("distance"))
+
+
+@register("map_labels", sql("SELECT l.y, l.x, g.instance FROM lab l JOIN grd g USING (y, x) WHERE l.instance <> 0 AND g.instance <> 0"))
+def map_labels(spark, d):
+    """Labels of the second mask where the first has any."""
+    return tiles.map_labels([el.labels(spark, d), el.grid(spark, d)], lambda a, b: np.where(a > 0, b, 0), size=8, depth=2, relabel=False)
+
+
+@register("tiling_correction", sql(f", f AS (SELECT c, y % 5 AS ty, x % 5 AS tx, quantile_cont(abs(value), 0.5) AS m FROM img GROUP BY ALL), g AS (SELECT *, m / avg(m) OVER (PARTITION BY c) AS flat FROM f) SELECT c, y, x, {rsql(('coalesce(abs(value) / nullif(flat, 0), abs(value))', 'value'))} FROM img JOIN g USING (c) WHERE ty = y % 5 AND tx = x % 5"))
+def tiling_correction(spark, d):
+    return tiles.tiling_correction(el.image(spark, d).withColumn("value", F.abs("value")), 5).select("c", "y", "x", *rnd("value"))
+
+
 # quality-control data
 
 
@@ -420,7 +495,7 @@ def density_image(spark, d):
     return composites.density_image(el.points(spark, d), 30, 20, 0.0, 16).select("c", "y", "x", *rnd("value"))
 
 
-@register("signal_table")
+@register("signal_table", sql(f", sig AS (SELECT y % 2 AS odd, c, abs(value) AS value FROM img){OTSU.format(keys='odd, c')} SELECT c, {rsql(('coalesce(avg(snr) FILTER (odd = 0), 0)', 'even'), ('coalesce(avg(snr) FILTER (odd = 1), 0)', 'odd'))} FROM snr GROUP BY c"))
 def signal_table(spark, d):
     rows = el.image(spark, d).withColumn("value", F.abs("value"))
     images = rows.withColumn("image", F.when(F.col("y") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")))

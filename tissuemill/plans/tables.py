@@ -70,6 +70,16 @@ def highly_variable(spark, d):
     return table.highly_variable(el.counts(spark, d), el.cells(spark, d), 10, 5).select("gene", *rnd("dispersion", "score"))
 
 
+@register("preprocess_proteomics", sql(f", v AS (SELECT instance, gene, ln(1 + value * 100 / size) AS value FROM cnt JOIN cel USING (instance)), q AS (SELECT gene, quantile_cont(value, 0.99) AS p FROM v WHERE value <> 0 GROUP BY 1) SELECT instance, gene, {rsql(('least(100.0, coalesce(100 * value / nullif(p, 0), 0))', 'value'))} FROM v LEFT JOIN q USING (gene)"))
+def preprocess_proteomics(spark, d):
+    return table.preprocess_proteomics(el.counts(spark, d), el.cells(spark, d), q=0.99).select("instance", "gene", *rnd("value"))
+
+
+@register("table_subset", sql(", k AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS i FROM (SELECT DISTINCT gene FROM cnt)), w AS (SELECT gene, CASE i WHEN 4 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS place FROM k WHERE i IN (4, 1, 2)) SELECT instance, gene, value, place FROM cnt JOIN w USING (gene) WHERE instance IN (SELECT instance FROM cel WHERE region IN (0, 3, 7))"))
+def table_subset(spark, d):
+    return table.subset(el.counts(spark, d), el.cells(spark, d), regions=[0, 3, 7], positions=[4, 1, 2])["x"]
+
+
 @register("filter_on_size", sql("SELECT instance, region, size FROM cel WHERE size > 20 AND size < 60"))
 def filter_on_size(spark, d):
     return table.filter_on_size(el.cells(spark, d), 20, 60)
@@ -184,6 +194,16 @@ def annotation_by_cluster(spark, d):
     return annotate.composition_by_cluster(named, clusters).select("cluster", "annotation", "n", *rnd("share"))
 
 
+@register("marker_scores", sql(f"""{TOT}, g AS (SELECT gene, ntile(5) OVER (ORDER BY mean, gene) AS bin FROM (SELECT gene, sum(value) / (SELECT count(*) FROM cel) AS mean FROM cnt GROUP BY 1)),
+o AS (SELECT type, gene, bin FROM mrk JOIN g USING (gene)), u AS (SELECT DISTINCT type, bin FROM o),
+t AS (SELECT u.type, g.gene FROM u JOIN g USING (bin) WHERE (u.type, g.gene) NOT IN (SELECT type, gene FROM o) QUALIFY row_number() OVER (PARTITION BY u.type, bin ORDER BY md5(g.gene), g.gene) <= 3),
+w AS (SELECT type, gene, 1.0::DOUBLE / count(*) OVER (PARTITION BY type) AS w FROM o UNION ALL SELECT type, gene, -1.0::DOUBLE / count(*) OVER (PARTITION BY type) FROM t),
+s AS (SELECT instance, type, sum(value * w) AS score FROM cnt JOIN w USING (gene) GROUP BY ALL)
+SELECT instance, type, {rsql(('coalesce(score, 0)', 'score'))} FROM cel CROSS JOIN (SELECT DISTINCT type FROM o) LEFT JOIN s USING (instance, type)"""))
+def marker_scores(spark, d):
+    return annotate.marker_scores(el.counts(spark, d), el.cells(spark, d), el.markers(spark, d).select("gene", "type"), controls=3, bins=5).select("instance", "type", *rnd("score"))
+
+
 @register("score_genes")
 def score_genes(spark, d):
     x = table.log1p(el.counts(spark, d))
