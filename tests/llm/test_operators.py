@@ -75,6 +75,35 @@ def test_sentencepiece_matches_library(spark, odd, docs):
     assert sentencepiece_codec.encode_decode(odd.limit(0), path).count() == 0
 
 
+def test_sentencepiece_memory_of_a_large_batch():
+    """A batch of 8 MB is encoded whole, but by parts: what Python holds at a time stays under a bound."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    path = sentencepiece_codec.tokenizer_path("piece_bpe_32k.model")
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [None if i == 77 else " ".join(rng.choices(words, k=400)) for i in range(3300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    assert batch.column(1).nbytes > 8 << 20
+    library, rows = sentencepiece_codec.worker_codec(path).library, 0
+    tracemalloc.start()
+    try:
+        for out in sentencepiece_codec.coded_batches(iter([batch]), 1, path, ["doc_id", "ids", "decoded"]):
+            assert out.column(0).to_pylist() == list(range(rows, rows + out.num_rows))
+            own = [t or "" for t in texts[rows : rows + out.num_rows]]
+            assert out.column(2).to_pylist() == own
+            for k in (0, out.num_rows - 1):
+                assert out.column(1)[k].as_py() == library.encode(own[k])
+            rows += out.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 100 << 20
+
+
 # 2
 
 
