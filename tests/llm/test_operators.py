@@ -441,6 +441,16 @@ def test_url_filter_rules(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_rules_are_the_contracts(spark):
+    listed = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {host + path: verdict for verdict, host, path in url_filter.RULES} == listed
+    urls = ["http://a.com/en/1", "http://example.com/en/7", "http://net/de/1", "http://a.net/de/8", "http://example.net/de/7", "http://b.example.net/de/89", "http://org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r["rule"], r.verdict) for r in url_filter.filter_urls(pages).collect()}
+    rules = ["com/en/", "example.com/en/7", "net/de/", "net/de/", "net/de/", "example.net/de/8", "org/es/"]
+    assert [got[i] for i in range(len(urls))] == [(r, listed[r]) for r in rules]
+
+
 def test_mined_rules_match_brute_force(spark):
     rng, rows = random.Random(8), []
     for _ in range(400):

@@ -33,7 +33,7 @@ SUPPORT, CONFIDENCE = 0.002, 0.9
 LEAST = 20
 
 # The listed rules, (verdict, host, path).
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 _TOKEN = re.compile(r"[^/._\-?&=#:]+")
 
