@@ -90,3 +90,27 @@ def test_correlation_raises_for_a_lost_gene(spark):
         points.left_out_correlation(p, kept, (0, 2, 0, 2))
     both = spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "instance int, gene string, count long")
     assert tuple(points.left_out_correlation(p, both, (0, 2, 0, 2)).first()) == (2, None)
+
+
+def _ragged(spark, missing):
+    """Two channels of 9 x 10 pixels, ``missing`` of each left out: the frame, the array and what of it is there."""
+    a = np.random.default_rng(3).random((2, 9, 10)) - 0.3
+    held = np.ones(a.shape, bool)
+    for m in missing:
+        held[m] = False
+    rows = [(int(c), int(y), int(x), float(a[c, y, x])) for c, y, x in zip(*np.nonzero(held), strict=True)]
+    return spark.createDataFrame(rows, "c int, y long, x long, value double"), a, held
+
+
+RAGGED = [(slice(None), 8, slice(3, None)), (1, slice(4, 9), slice(0, 9))]
+
+
+def test_tiling_correction_of_a_ragged_image(spark):
+    frame, a, held = _ragged(spark, RAGGED)
+    got = {(r.c, r.y, r.x): r.value for r in tiles.tiling_correction(frame.withColumn("value", F.abs("value")), 4, ragged=True).collect()}
+    assert len(got) == held.sum()
+    for c in range(2):
+        m = {(i, j): np.median(np.abs(a[c, i::4, j::4])[held[c, i::4, j::4]]) for i in range(4) for j in range(4)}
+        mean = np.mean(list(m.values()))
+        for y, x in zip(*np.nonzero(held[c]), strict=True):
+            assert got[c, y, x] == pytest.approx(abs(a[c, y, x]) * mean / m[y % 4, x % 4])

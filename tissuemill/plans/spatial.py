@@ -456,7 +456,7 @@ def map_labels(spark, d):
 
 @register("tiling_correction", sql(f", f AS (SELECT c, y % 5 AS ty, x % 5 AS tx, quantile_cont(abs(value), 0.5) AS m FROM img GROUP BY ALL), g AS (SELECT *, m / avg(m) OVER (PARTITION BY c) AS flat FROM f) SELECT c, y, x, {rsql(('coalesce(abs(value) / nullif(flat, 0), abs(value))', 'value'))} FROM img JOIN g USING (c) WHERE ty = y % 5 AND tx = x % 5"))
 def tiling_correction(spark, d):
-    return tiles.tiling_correction(el.image(spark, d).withColumn("value", F.abs("value")), 5).select("c", "y", "x", *rnd("value"))
+    return tiles.tiling_correction(el.image(spark, d).withColumn("value", F.abs("value")), 5, ragged=True).select("c", "y", "x", *rnd("value"))
 
 
 # quality-control data
