@@ -114,3 +114,9 @@ def test_tiling_correction_of_a_ragged_image(spark):
         mean = np.mean(list(m.values()))
         for y, x in zip(*np.nonzero(held[c]), strict=True):
             assert got[c, y, x] == pytest.approx(abs(a[c, y, x]) * mean / m[y % 4, x % 4])
+
+
+def test_tiles_keep_missing_pixels_out(spark):
+    frame, a, held = _ragged(spark, RAGGED)
+    got = {(r.c, r.y, r.x): r.value for r in tiles.from_tiles(tiles.map_tiles(tiles.to_tiles(frame, 4), lambda v: 2 * v + 1, 2, 4)).collect()}
+    assert got == {k: pytest.approx(2 * a[k] + 1) for k in zip(*map(np.ndarray.tolist, np.nonzero(held)), strict=True)}

@@ -1,6 +1,8 @@
 """Tiled rasters: halo exchange, user functions on tiles, filters, segmentation and stitching of tiles.
 
-A tile is one row (keys, ty, tx, y0, x0, h, w, payload) with its pixels as little-endian doubles. The halo of a tile is sent by
+A tile is one row (keys, ty, tx, y0, x0, h, w, payload, held) with its pixels as little-endian doubles and, as packed bits, which
+of them the image has: an image may lack pixels, as at the end of a last row, and those are 0 to functions and no rows of a
+result unless a filter reaches them. The halo of a tile is sent by
 its neighbours: each tile explodes into the parts that the nine tiles around need, and a tile's group holds at most nine parts,
 so that a task needs memory for some tiles and not for an image. A result is the same as without tiles where the function looks
 no further than the halo.
@@ -17,47 +19,53 @@ from pyspark.sql import functions as F
 
 from ..shared import keeper
 
-_TILE = "ty long, tx long, y0 long, x0 long, h long, w long, payload binary"
+_TILE = "ty long, tx long, y0 long, x0 long, h long, w long, payload binary, held binary"
+_COLUMNS = ["ty", "tx", "y0", "x0", "h", "w", "payload", "held"]
 
 
 def _array(payload: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(payload, "<f8").reshape(int(h), int(w))
 
 
+def _bits(held: bytes, h: int, w: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(held, "u1"), count=int(h * w)).astype(bool).reshape(int(h), int(w))
+
+
 def _types(df: DataFrame, keys: Sequence[str]) -> str:
     kinds = dict(df.dtypes)
     return "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
 
 def to_tiles(pixels: DataFrame, size: int, keys: Sequence[str] = ("c",), value: str = "value") -> DataFrame:
-    """Long pixels (keys, y, x, value) to dense tiles; missing pixels are 0."""
+    """Long pixels (keys, y, x, value) to dense tiles; missing pixels are 0 and not held."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(pdf.ty.iloc[0]) * size, int(pdf.tx.iloc[0]) * size
         h, w = int(pdf.y.max()) - y0 + 1, int(pdf.x.max()) - x0 + 1
-        out = np.zeros((h, w))
+        out, held = np.zeros((h, w)), np.zeros((h, w), bool)
         out[pdf.y - y0, pdf.x - x0] = pdf[value]
-        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "ty": pdf.ty.iloc[:1], "tx": pdf.tx.iloc[:1], "y0": y0, "x0": x0, "h": h, "w": w, "payload": [out.astype("<f8").tobytes()]})
+        held[pdf.y - y0, pdf.x - x0] = True
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "ty": pdf.ty.iloc[:1], "tx": pdf.tx.iloc[:1], "y0": y0, "x0": x0, "h": h, "w": w, "payload": [out.astype("<f8").tobytes()], "held": [np.packbits(held).tobytes()]})
 
     rows = pixels.select(*keys, F.col("y").cast("long"), F.col("x").cast("long"), F.col(value).cast("double"), F.floor(F.col("y") / size).alias("ty"), F.floor(F.col("x") / size).alias("tx"))
     return rows.groupBy(*keys, "ty", "tx").applyInPandas(pack, _types(pixels, keys) + _TILE)
 
 
 def from_tiles(tiles: DataFrame, keys: Sequence[str] = ("c",), value: str = "value") -> DataFrame:
-    """Tiles back to long pixels."""
+    """Tiles back to long pixels, those that are held."""
 
     def unpack(frames):
         for f in frames:
             for r in f.itertuples(index=False):
                 a = _array(r.payload, r.h, r.w)
-                y, x = np.indices(a.shape)
-                yield pd.DataFrame({**{k: getattr(r, k) for k in keys}, "y": y.ravel() + r.y0, "x": x.ravel() + r.x0, value: a.ravel()})
+                y, x = np.nonzero(_bits(r.held, r.h, r.w))
+                yield pd.DataFrame({**{k: getattr(r, k) for k in keys}, "y": y + r.y0, "x": x + r.x0, value: a[y, x]})
 
     return tiles.mapInPandas(unpack, _types(tiles, keys) + f"y long, x long, `{value}` double")
 
 
 def with_halo(tiles: DataFrame, depth: int, size: int, keys: Sequence[str] = ("c",)) -> DataFrame:
-    """Parts (keys, ty, tx, y0, x0, h, w, payload) of tiles as the tile (ty, tx) needs them within ``depth`` pixels."""
+    """Parts (keys, ty, tx, y0, x0, h, w, payload, held) of tiles as the tile (ty, tx) needs them within ``depth`` pixels."""
     if depth > size:
         raise ValueError("the halo is deeper than a tile")
 
@@ -65,49 +73,68 @@ def with_halo(tiles: DataFrame, depth: int, size: int, keys: Sequence[str] = ("c
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
-                a = _array(r.payload, r.h, r.w)
+                a, held = _array(r.payload, r.h, r.w), _bits(r.held, r.h, r.w)
                 for dy in (-1, 0, 1):
                     for dx in (-1, 0, 1):
                         ys = slice(0, depth) if dy < 0 else slice(max(0, size - depth), None) if dy > 0 else slice(None)
                         xs = slice(0, depth) if dx < 0 else slice(max(0, size - depth), None) if dx > 0 else slice(None)
                         part = a[ys, xs]
                         if part.size:
-                            out.append((*[getattr(r, k) for k in keys], r.ty + dy, r.tx + dx, r.y0 + (ys.start or 0), r.x0 + (xs.start or 0), *part.shape, np.ascontiguousarray(part).tobytes()))
-            yield pd.DataFrame(out, columns=[*keys, "ty", "tx", "y0", "x0", "h", "w", "payload"])
+                            out.append((*[getattr(r, k) for k in keys], r.ty + dy, r.tx + dx, r.y0 + (ys.start or 0), r.x0 + (xs.start or 0), *part.shape, np.ascontiguousarray(part).tobytes(), np.packbits(held[ys, xs]).tobytes()))
+            yield pd.DataFrame(out, columns=[*keys, *_COLUMNS])
 
     return tiles.mapInPandas(send, _types(tiles, keys) + _TILE)
 
 
-def _assemble(parts: pd.DataFrame, size: int, depth: int) -> tuple[np.ndarray, int, int] | None:
-    """The haloed array of a tile and its own place in it; None where the tile itself has no pixels."""
+def _assemble(parts: pd.DataFrame, size: int, depth: int, extent: tuple[int, int, int, int] | None) -> tuple[np.ndarray, np.ndarray, int, int] | None:
+    """The haloed array of a tile, what of it is held, and its own place in it; None where the tile itself has no pixels, or lies outside ``extent``."""
     ty, tx = int(parts.ty.iloc[0]), int(parts.tx.iloc[0])
-    own = parts[(parts.y0 == ty * size) & (parts.x0 == tx * size)]
-    own = own[(own.y0 + own.h > ty * size) & (own.x0 + own.w > tx * size)]
-    if not len(own):
-        return None
-    y0, x0 = int(parts.y0.min()), int(parts.x0.min())
-    out = np.zeros((int((parts.y0 + parts.h).max()) - y0, int((parts.x0 + parts.w).max()) - x0))
+    if extent is None:
+        own = parts[(parts.y0 == ty * size) & (parts.x0 == tx * size)]
+        if not len(own):
+            return None
+        y0, x0, y1, x1 = int(parts.y0.min()), int(parts.x0.min()), int((parts.y0 + parts.h).max()), int((parts.x0 + parts.w).max())
+    else:
+        top, left, bottom, right = extent
+        if not (top < (ty + 1) * size and ty * size < bottom and left < (tx + 1) * size and tx * size < right):
+            return None
+        y0, x0 = max(top, ty * size - depth), max(left, tx * size - depth)
+        y1, x1 = min(bottom, (ty + 1) * size + depth), min(right, (tx + 1) * size + depth)
+    out, held = np.zeros((y1 - y0, x1 - x0)), np.zeros((y1 - y0, x1 - x0), bool)
     for r in parts.itertuples():
-        out[r.y0 - y0 : r.y0 - y0 + r.h, r.x0 - x0 : r.x0 - x0 + r.w] = _array(r.payload, r.h, r.w)
-    return out, y0, x0
+        place = slice(r.y0 - y0, r.y0 - y0 + r.h), slice(r.x0 - x0, r.x0 - x0 + r.w)
+        out[place], held[place] = _array(r.payload, r.h, r.w), _bits(r.held, r.h, r.w)
+    return out, held, y0, x0
 
 
-def map_tiles(tiles: DataFrame, fn: Callable[[np.ndarray], np.ndarray], depth: int, size: int, keys: Sequence[str] = ("c",)) -> DataFrame:
-    """Apply a same-shape function to every tile with a halo of ``depth`` and cut the halo off."""
+def _map_held(tiles: DataFrame, fn: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], depth: int, size: int, keys: Sequence[str], extent: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """``map_tiles`` with a function of the array and what of it is held to both.
+
+    With ``extent`` (top, left, bottom, right; half-open) arrays end there and not with the pixels at hand, and tiles without
+    pixels that a neighbour's halo reaches take part.
+    """
 
     def work(parts: pd.DataFrame) -> pd.DataFrame:
-        found = _assemble(parts, size, depth)
-        columns = [*keys, "ty", "tx", "y0", "x0", "h", "w", "payload"]
+        found = _assemble(parts, size, depth, extent)
+        columns = [*keys, *_COLUMNS]
         if found is None:
             return pd.DataFrame(columns=columns)
-        whole, y0, x0 = found
+        whole, held, y0, x0 = found
         ty, tx = int(parts.ty.iloc[0]), int(parts.tx.iloc[0])
-        own = np.asarray(fn(whole), dtype="<f8")[ty * size - y0 : ty * size - y0 + size, tx * size - x0 : tx * size - x0 + size]
-        return pd.DataFrame([(*[parts[k].iloc[0] for k in keys], ty, tx, ty * size, tx * size, *own.shape, np.ascontiguousarray(own).tobytes())], columns=columns)
+        top, left = max(ty * size, y0), max(tx * size, x0)
+        cut = slice(top - y0, (ty + 1) * size - y0), slice(left - x0, (tx + 1) * size - x0)
+        out, held = fn(whole, held)
+        own = np.asarray(out, dtype="<f8")[cut]
+        return pd.DataFrame([(*[parts[k].iloc[0] for k in keys], ty, tx, top, left, *own.shape, np.ascontiguousarray(own).tobytes(), np.packbits(held[cut]).tobytes())], columns=columns)
 
     return with_halo(tiles, depth, size, keys).groupBy(*keys, "ty", "tx").applyInPandas(work, _types(tiles, keys) + _TILE)
 
 
+def map_tiles(tiles: DataFrame, fn: Callable[[np.ndarray], np.ndarray], depth: int, size: int, keys: Sequence[str] = ("c",)) -> DataFrame:
+    """Apply a same-shape function to every tile with a halo of ``depth`` and cut the halo off; missing pixels are 0 to it and stay missing."""
+    return _map_held(tiles, lambda a, held: (fn(a), held), depth, size, keys)
+
+
 def _along(a: np.ndarray, reach: int, mode: str) -> np.ndarray:
     return np.pad(a, [(reach, reach), (0, 0)], mode=mode)
 
@@ -164,8 +191,14 @@ def equalize(a: np.ndarray, clip: float = 3.5, bins: int = 256) -> np.ndarray:
 
 
 def enhance_contrast(image: DataFrame, clip: float = 3.5, size: int = 256) -> DataFrame:
-    """Contrast per tile and channel (an approximation of adaptive equalisation, without blending between tiles)."""
-    return from_tiles(map_tiles(to_tiles(image, size), lambda a: equalize(a, clip), 0, size))
+    """Contrast per tile and channel over the pixels that it has (an approximation of adaptive equalisation, without blending between tiles)."""
+
+    def even(a: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(a.shape)
+        out[held] = equalize(a[held], clip)
+        return out, held
+
+    return from_tiles(_map_held(to_tiles(image, size), even, 0, size, ("c",)))
 
 
 def components_2d(binary: np.ndarray) -> np.ndarray:
