@@ -120,3 +120,19 @@ def test_tiles_keep_missing_pixels_out(spark):
     frame, a, held = _ragged(spark, RAGGED)
     got = {(r.c, r.y, r.x): r.value for r in tiles.from_tiles(tiles.map_tiles(tiles.to_tiles(frame, 4), lambda v: 2 * v + 1, 2, 4)).collect()}
     assert got == {k: pytest.approx(2 * a[k] + 1) for k in zip(*map(np.ndarray.tolist, np.nonzero(held)), strict=True)}
+
+
+def test_gaussian_of_a_ragged_image(spark):
+    frame, a, held = _ragged(spark, RAGGED)
+    got = {(r.c, r.y, r.x): r.value for r in tiles.gaussian_filter(frame, 0.5, 4).collect()}
+    want = {}
+    for c in range(2):
+        blurred = tiles.gaussian(np.where(held[c], a[c], 0.0), 0.5)
+        for y in range(9):
+            for x in range(10):
+                # pixels at most 2 away, mirrored at the ends
+                ys = [i if 0 <= i < 9 else -1 - i if i < 0 else 17 - i for i in range(y - 2, y + 3)]
+                xs = [i if 0 <= i < 10 else -1 - i if i < 0 else 19 - i for i in range(x - 2, x + 3)]
+                if held[c][np.ix_(ys, xs)].any():
+                    want[c, y, x] = pytest.approx(blurred[y, x])
+    assert got == want and 90 < len(want) < 180

@@ -166,9 +166,16 @@ def top_hat(a: np.ndarray, k: int) -> np.ndarray:
 
 
 def gaussian_filter(image: DataFrame, sigma: float, size: int = 1024) -> DataFrame:
-    """Gaussian blur of long pixels per channel."""
+    """Gaussian blur of long pixels per channel, mirrored at the ends of all channels' rectangle from (0, 0).
+
+    Pixels that a channel lacks are 0; those that the kernel reaches from a pixel of the channel get a value too.
+    """
     depth = int(4 * sigma + 0.5)
-    return from_tiles(map_tiles(to_tiles(image, max(size, depth)), lambda a: gaussian(a, sigma), depth, max(size, depth)))
+    size = max(size, depth)
+    ends = image.agg(*[f(c) for f in (F.min, F.max) for c in ("y", "x")]).first()
+    extent = None if ends[0] is None else (min(0, ends[0]), min(0, ends[1]), ends[2] + 1, ends[3] + 1)
+    blur = lambda a, held: (gaussian(a, sigma), _extreme(held, 2 * depth + 1, np.max))
+    return from_tiles(_map_held(to_tiles(image, size), blur, depth, size, ("c",), extent))
 
 
 def min_max_filter(image: DataFrame, k: int, size: int = 1024) -> DataFrame:
