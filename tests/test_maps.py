@@ -136,3 +136,16 @@ def test_gaussian_of_a_ragged_image(spark):
                 if held[c][np.ix_(ys, xs)].any():
                     want[c, y, x] = pytest.approx(blurred[y, x])
     assert got == want and 90 < len(want) < 180
+
+
+def test_top_hat_of_a_ragged_image(spark):
+    frame, a, held = _ragged(spark, RAGGED)
+    got = {(r.c, r.y, r.x): r.value for r in tiles.min_max_filter(frame, 3, 4).collect()}
+    assert len(got) == held.sum()
+    for c in range(2):
+        near = lambda v, y, x: v[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2][held[c, max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]]  # noqa: E731, B023
+        low = np.zeros((9, 10))
+        for y, x in zip(*np.nonzero(held[c]), strict=True):
+            low[y, x] = near(a[c], y, x).min()
+        for y, x in zip(*np.nonzero(held[c]), strict=True):
+            assert got[c, y, x] == pytest.approx(a[c, y, x] - near(low, y, x).max())
