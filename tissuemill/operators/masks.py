@@ -201,21 +201,27 @@ def expand_labels(mask: DataFrame, distance: int) -> DataFrame:
 def rasterize(polygons: DataFrame) -> DataFrame:
     """Polygons (instance, place, ring: array of (x, y)) to pixels (y, x, instance) whose centers are inside; the first place wins.
 
-    Candidate pixels are those of each polygon's box; inside is decided by the parity of edges crossed, as an expression.
+    Inside is decided by the parity of edges crossed: each edge goes to the rows of pixels that it crosses, and a row's sorted
+    crossings are the ends of its spans, so that work grows with the outlines and the pixels inside.
     """
-    box = polygons.select(
-        "instance", "place", "ring",
-        F.floor(F.array_min(F.transform("ring", lambda p: p["x"]))).alias("x0"), F.ceil(F.array_max(F.transform("ring", lambda p: p["x"]))).alias("x1"),
-        F.floor(F.array_min(F.transform("ring", lambda p: p["y"]))).alias("y0"), F.ceil(F.array_max(F.transform("ring", lambda p: p["y"]))).alias("y1"),
-    ).where("instance <> 0 and x1 > x0 and y1 > y0")
-    rows = box.withColumn("y", F.explode(F.expr("sequence(y0, y1 - 1)")))
-    # one crossing list per polygon and row, then a cheap test per pixel; an edge crosses at the same place in either direction
-    crossings = F.expr("""array_sort(transform(filter(zip_with(ring, concat(slice(ring, 2, size(ring)), slice(ring, 1, 1)), (a, b) -> struct(a, b)),
-        e -> (e.a.y > y + 0.5) <> (e.b.y > y + 0.5)), e -> if(e.a.y < e.b.y, e.a.x + (y + 0.5 - e.a.y) / (e.b.y - e.a.y) * (e.b.x - e.a.x),
-        e.b.x + (y + 0.5 - e.b.y) / (e.a.y - e.b.y) * (e.a.x - e.b.x))))""")
-    spans = rows.withColumn("cross", crossings).where("size(cross) > 0").drop("ring")
-    pixels = spans.withColumn("x", F.explode(F.expr("sequence(x0, x1 - 1)"))).where(F.expr("size(filter(cross, v -> v > x + 0.5)) % 2 = 1"))
-    return pixels.groupBy("y", "x").agg(F.min(F.struct("place", "instance")).alias("m")).select("y", "x", F.col("m.instance").alias("instance"))
+    own = polygons.select("instance", "place", "ring", F.monotonically_increasing_id().alias("_polygon"))
+    return _filled(own, ["_polygon", "instance", "place"]).groupBy("y", "x").agg(F.min(F.struct("place", "instance")).alias("m")).select("y", "x", F.col("m.instance").alias("instance"))
+
+
+def rasterize_rings(rings: DataFrame) -> DataFrame:
+    """Rings (instance, ring), as ``vectorize`` gives them, to pixels (y, x, instance): an instance's rings count together, so that those of holes cut them out; the smallest instance wins."""
+    return _filled(rings.select("instance", "ring"), ["instance"]).groupBy("y", "x").agg(F.min("instance").alias("instance"))
+
+
+def _filled(rings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, y, x): pixels whose centers lie inside the rings of equal keys, by parity."""
+    edges = rings.where("instance <> 0").select(*keys, F.explode(F.expr("zip_with(ring, concat(slice(ring, 2, size(ring)), slice(ring, 1, 1)), (a, b) -> struct(if(a.y < b.y, a, b) AS a, if(a.y < b.y, b, a) AS b))")).alias("e")).where("e.a.y < e.b.y")
+    # rows whose centers the edge crosses, its lower end included; it crosses at the same place in either direction
+    rows = edges.withColumn("_y0", F.ceil(F.col("e.a.y") - 0.5)).withColumn("_y1", F.ceil(F.col("e.b.y") - 0.5) - 1).where("_y0 <= _y1").withColumn("y", F.explode(F.sequence("_y0", "_y1")))
+    cross = F.expr("e.a.x + (y + 0.5 - e.a.y) / (e.b.y - e.a.y) * (e.b.x - e.a.x)")
+    lists = rows.select(*keys, "y", cross.alias("_v")).groupBy(*keys, "y").agg(F.array_sort(F.collect_list("_v")).alias("_v"))
+    spans = lists.select(*keys, "y", F.explode(F.expr("transform(sequence(0, size(_v) div 2 - 1), i -> struct(ceil(_v[2 * i] - 0.5) AS a, ceil(_v[2 * i + 1] - 0.5) - 1 AS b))")).alias("_s")).where("_s.a <= _s.b")
+    return spans.select(*keys, "y", F.explode(F.sequence("_s.a", "_s.b")).alias("x"))
 
 
 def boundary_edges(mask: DataFrame) -> DataFrame:

@@ -240,12 +240,8 @@ def boundary_edges(spark, d):
 
 @register("vectorize_rasterize", sql("SELECT y, x, instance FROM lab WHERE instance <> 0"))
 def vectorize_rasterize(spark, d):
-    """Outlines of the labels and back: rings that hold holes cross them, so that parity gives the pixels again."""
-    rings = masks.vectorize(el.labels(spark, d))
-    # all rings of an instance as one: edges there and back between rings cancel
-    joined = rings.groupBy("instance").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ring_id", "ring"))), lambda r: F.concat(r["ring"], F.slice(r["ring"], 1, 1), F.array(F.struct(F.lit(-1.0).alias("x"), F.lit(-1.0).alias("y")))))).alias("ring"))
-    joined = joined.withColumn("ring", F.concat(F.array(F.struct(F.lit(-1.0).alias("x"), F.lit(-1.0).alias("y"))), F.col("ring")))
-    return masks.rasterize(joined.withColumn("place", F.col("instance"))).select(F.col("y").cast("long"), F.col("x").cast("long"), "instance")
+    """Outlines of the labels and back: an instance's rings and those of its holes count together, so that parity gives the pixels again."""
+    return masks.rasterize_rings(masks.vectorize(el.labels(spark, d))).select("y", "x", "instance")
 
 
 # points
