@@ -49,3 +49,20 @@ def test_operators_defaults(spark, monkeypatch):
     for name in ("label_propagation", "nhood_lda", "nhood_enrichment", "spatial_pixel_neighbors"):
         plans.queries()[name](spark, DIR)
     assert seen == dict.fromkeys(("label_propagation", "neighborhood_lda", "enrichment", "spatial_pixel_neighbors"), True)
+
+
+def test_score_genes_iter_computes_its_inputs_once(spark):
+    from tissuemill.operators import annotate
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = [(i, f"g{j}", float((i * 5 + j * 3) % 7)) for i in range(30) for j in range(6)]
+    x = spark.createDataFrame(rows, "instance long, gene string, value double").mapInPandas(counted, "instance long, gene string, value double")
+    markers = spark.createDataFrame([(f"g{j}", f"t{j % 2}", 1.0) for j in range(6)], "gene string, type string, weight double")
+    out = annotate.score_genes_iter(x, spark.range(30).withColumnRenamed("id", "instance"), markers, ["t0", "t1"], 3, stop=-1.0)
+    assert out.count() == 30 and seen.value == len(rows)

@@ -99,9 +99,11 @@ def allowed_by_minimum(scores: DataFrame, min_score: str | None, q: float = 0.5)
 def score_genes_iter(x: DataFrame, obs: DataFrame, markers: DataFrame, types: Sequence[str], n_iter: int = 5, stop: float = 0.0005, scaling: str = "Nmarkers", min_score: str | None = "Zero", keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Score, annotate, and centre anew with the mean of the types' mean expressions, until at most a share ``stop`` of cells changes.
 
-    ``keep`` writes an iteration's annotation and reads it back (under the shared folder, by default), so that plans don't grow.
+    ``keep`` writes the inputs once and an iteration's annotation, and reads them back (under the shared folder, by default), so
+    that plans don't grow and no iteration computes its inputs again.
     """
     keep = keep or keeper(x.sparkSession)
+    x, obs, markers = keep(x), keep(obs), keep(markers)
     means, old = None, None
     total = obs.select("instance").distinct().count()
     for _ in range(n_iter):
